@@ -11,49 +11,50 @@ from .common import shared_dir, written
 
 SAMPLE_ROWS = 2000
 
-#: Name and SQL of each rule, over the text ``t``; a document is rejected if any is true. Spark and
-#: DuckDB read the same SQL, but for ``lines`` and ``words``, the texts split at line ends and at white space.
+#: Name and SQL of each rule, over the text ``t``; a document is rejected if any is true. The names in
+#: braces are the counts below, which Spark and DuckDB work out each in its own way.
 RULES: dict[str, str] = {
     "empty": "length(trim(t)) = 0",
     "exclaiming": "length(t) - length(replace(t, '!!', '')) > 0.2 * {words}",
-    "symbols": "length(t) - length(replace(replace(replace(replace(replace(t, '#', ''), '*', ''), '&', ''), '%', ''), '$', '')) > 0.3 * {words} + 3",
+    "symbols": "{symbols} > 0.3 * {words} + 3",
     "tables": "length(t) - length(replace(t, '|', '')) > 0.3 * {words} + 5",
     "long_words": "length(t) > 40 * {words}",
     "bullets": "{words} > 30 and (length(t) - length(replace(t, '\n- ', '')) + length(t) - length(replace(t, '\n* ', ''))) / 3 > 0.9 * {lines}",
     "ellipses": "(length(t) - length(replace(t, '...', ''))) / 3 > 0.5 * {lines} + 3",
-    "shouting": "length(t) > 60 and length({capitals}) > 0.4 * length(t)",
+    "shouting": "length(t) > 60 and {capitals} > 0.4 * length(t)",
     "no_letters": "not {letters}",
     "repeated_lines": "{lines} > 5 and {distinct_lines} < 0.5 * {lines}",
     "repeated_words": "{words} > 20 and {same_words} > 0.25 * {words}",
 }
-_COUNTS = {
-    "words": "(length(t) - length(replace(t, ' ', '')) + length(t) - length(replace(t, '\n', '')) + 1)",
-    "lines": "(length(t) - length(replace(t, '\n', '')) + 1)",
-}
-_SPARK = _COUNTS | {
-    "capitals": "regexp_replace(t, '[^A-Z]+', '')",
+_SPARK = {
+    "words": "c.w",
+    "lines": "c.l",
+    "symbols": "regexp_count(t, '[#*&%$]')",
+    "capitals": "regexp_count(t, '[A-Z]')",
     "letters": r"(t rlike '\\p{L}')",
     "distinct_lines": "size(array_distinct(split(t, '\n', -1)))",
-    "same_words": "aggregate(split(t, '[ \n]', -1), named_struct('n', 0, 'w', ''), (a, w) -> named_struct('n', a.n + int(w = a.w and w <> ''), 'w', w), a -> a.n)",
+    "same_words": "transform(array(split(t, '[ \n]', -1)), v -> size(filter(v, (y, i) -> y <> '' and y = get(v, i + 1))))[0]",
 }
-_DUCKDB = _COUNTS | {
-    "capitals": "regexp_replace(t, '[^A-Z]+', '', 'g')",
+#: Words and lines are counted once for all rules, and bound to ``c``.
+_BIND = "transform(array(named_struct('w', size(split(t, ' ', -1)) + size(split(t, '\n', -1)) - 1, 'l', size(split(t, '\n', -1)))), c -> {body})[0]"
+_DUCKDB = {
+    "words": "(length(t) - length(replace(t, ' ', '')) + length(t) - length(replace(t, '\n', '')) + 1)",
+    "lines": "(length(t) - length(replace(t, '\n', '')) + 1)",
+    "symbols": "length(regexp_replace(t, '[^#*&%$]+', '', 'g'))",
+    "capitals": "length(regexp_replace(t, '[^A-Z]+', '', 'g'))",
     "letters": r"regexp_matches(t, '\p{L}')",
     "distinct_lines": "len(list_distinct(string_split(t, '\n')))",
     "same_words": "(select count(*) from (select unnest(w[1:len(w) - 1]) a, unnest(w[2:]) b from (select string_split_regex(t, '[ \n]') w)) where a = b and a <> '')",
 }
 
 
-def _newlines(sql: str) -> str:
-    return sql.replace("\n", "\\n")
+def _bound(body: str) -> Column:
+    return F.expr(_BIND.format(body=body).replace("\n", "\\n"))
 
 
-def rule_columns(rules: dict[str, str] | None = None, text: str = "text") -> dict[str, Column]:
-    """Each rule as a column; never null."""
-    out = {}
-    for name, sql in (rules or RULES).items():
-        out[name] = F.expr(_newlines(sql.format(**_SPARK)))
-    return out
+def rule_columns(rules: dict[str, str] | None = None) -> dict[str, Column]:
+    """Each rule as a column over the text ``t``; never null."""
+    return {name: _bound(sql.format(**_SPARK)) for name, sql in (rules or RULES).items()}
 
 
 def order_rules(docs: DataFrame, work: str, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
@@ -95,11 +96,8 @@ def cascade(rules: dict[str, str] | None, order: list[str]) -> Column:
 
     A CASE stops at the first branch that holds, so later rules aren't evaluated on a rejected row.
     """
-    columns = rule_columns(rules)
-    out = None
-    for name in order:
-        out = F.when(columns[name], name) if out is None else out.when(columns[name], name)
-    return out
+    rules = rules or RULES
+    return _bound("case " + " ".join(f"when {rules[name].format(**_SPARK)} then '{name}'" for name in order) + " end")
 
 
 def judge(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
