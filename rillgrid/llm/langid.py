@@ -253,6 +253,6 @@ def keep_identified(docs: DataFrame, declared: str = "lang", host: str = "source
 def pages_as_documents(pages: DataFrame) -> DataFrame:
     """Pages with the tag their markup declares and the host of their address, for ``identify``."""
     tag = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^<>]*>", " ")
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1)
     return pages.select("page_id", text.alias("text"), tag.alias("lang"), F.when(host != "", host).alias("source"))

@@ -13,7 +13,7 @@ ROUNDS = 16
 ROUNDS_PER_TABLE = 4
 MARGIN = 0.001
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-_MENTION = r"((?:[a-z0-9-]+\.)+[a-z]{2,})"
+_MENTION = r"((?:[a-z0-9-]{1,63}\.)+[a-z]{2,24})"  # bounded labels keep the search linear in any text
 
 
 def host_of(url: Column) -> Column:
