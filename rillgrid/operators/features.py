@@ -126,7 +126,8 @@ def rasterize_polygons(polygons: DataFrame, field: str | None, shape: tuple[int,
     """
     dtype = dtype or ("bool" if field is None else "float64")
     t = transform
-    edges = polygons.select(F.monotonically_increasing_id().alias("pid"), F.col(order).alias("o"), _field(field, operation).alias("v"), F.explode("rings").alias("ring"))
+    named = polygons.select(F.monotonically_increasing_id().alias("pid"), F.col(order).alias("o"), _field(field, operation).alias("v"), "rings")
+    edges = named.select("pid", "o", "v", F.explode("rings").alias("ring"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda k: F.struct(F.element_at("ring", k).alias("a"), F.element_at("ring", k + 1).alias("b")))
     edges = edges.select("pid", "o", "v", F.explode(pairs).alias("e")).select("pid", "o", "v", F.col("e.a.x").alias("x1"), ((F.col("e.a.y") - t.top) / t.dy).alias("r1"), F.col("e.b.x").alias("x2"), ((F.col("e.b.y") - t.top) / t.dy).alias("r2"))
     low, high = F.least("r1", "r2"), F.greatest("r1", "r2")

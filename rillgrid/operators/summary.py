@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import units as U
 from ..functions.expr import NAN
 from ..plans import doubling as D
+from ..plans import tables
 from ..raster import Raster
 from .cells import require
 from .network import Network, cell_segments, outlets
@@ -54,9 +55,21 @@ def _scope(network: Network, table: DataFrame, terminal: bool) -> DataFrame:
     return table.join(network.segments.where("child is null").select("id"), "id", "left_semi") if terminal else table
 
 
+_LABELS: dict[int, tuple[Network, DataFrame]] = {}
+
+
+def labelled(network: Network) -> DataFrame:
+    """``cell_segments`` of a network, worked out once for all statistics of it."""
+    if id(network) not in _LABELS:
+        _LABELS[id(network)] = (network, tables.write(cell_segments(network), f"{tables.folder(network.pixels.sparkSession)}/labels"))
+        while len(_LABELS) > 8:
+            _LABELS.pop(next(iter(_LABELS)))
+    return _LABELS[id(network)][1]
+
+
 def _cells(network: Network, rasters: dict[str, Raster], mask: Raster | None) -> DataFrame:
     """Labelled cells with the rasters' values, within a mask."""
-    table = cell_segments(network)
+    table = labelled(network)
     for column, raster in rasters.items():
         table = table.join(network.flow.validate(raster, column).as_nan(column), ["row", "col"])
     if mask is not None:

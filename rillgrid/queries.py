@@ -13,7 +13,7 @@ from .functions import classes as C
 from .functions import formats, hazard, likelihood, nodata, rainfall, slope, units, volume
 from .functions.expr import NAN
 from .operators import cells, condition, features, flow, network, spatial, summary
-from .plans import assessment, grids
+from .plans import assessment, grids, tables
 from .plans.grids import PIXEL, WIDTH
 from .projection import Bounds
 from .raster import Raster
@@ -151,15 +151,31 @@ def _boxes(s, d):
     return _out(features.rasterize_polygons(p, "v", (90, 64), P.Transform(10, -10, 0, 0, 32611), order="id", dtype="int32"))
 
 
-_add("rasterize_polygons", _boxes, "select g.r::int as row, g.c::int as col, coalesce(arg_max(s_nationkey, s_suppkey), -2147483648) as value from (select r, c from range(0, 90) a(r), range(0, 64) b(c)) g left join supplier on g.c * 10 + 5 > (s_suppkey * 41) % 500 and g.c * 10 + 5 < (s_suppkey * 41) % 500 + 83 and -(g.r * 10 + 5) < -((s_suppkey * 67) % 700) and -(g.r * 10 + 5) > -((s_suppkey * 67) % 700) - 57 group by 1, 2")
+_add("rasterize_polygons", _boxes, "select g.r::int as row, g.c::int as col, coalesce(arg_max(s_nationkey, s_suppkey), -2147483648) as value from (select r, c from range(0, 90) a(r), range(0, 64) b(c)) g left join supplier on g.c * 10 + 5 >= (s_suppkey * 41) % 500 and g.c * 10 + 5 < (s_suppkey * 41) % 500 + 83 and g.r * 10 + 5 >= (s_suppkey * 67) % 700 and g.r * 10 + 5 < (s_suppkey * 67) % 700 + 57 group by 1, 2")
 _add("window_features", lambda s, d: features.within(grids.table(s, d, "customer").select("c_custkey", F.pmod("c_custkey", F.lit(640)).cast("double").alias("x"), (-F.pmod(F.col("c_custkey") * 3, F.lit(900))).cast("double").alias("y")), Bounds(100, -500, 300, -50)), "select c_custkey, (c_custkey % 640)::double as x, (-((c_custkey * 3) % 900))::double as y from customer where c_custkey % 640 between 100 and 300 and (c_custkey * 3) % 900 between 50 and 500")
 
 # --- flow ----------------------------------------------------------------------------------------
 _NEG = "'nan'::double"
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(s, d, name, make):
+    """Base tables that many queries share (flow, slopes, the network) are written once for a session and folder."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        made = make()
+        _KEPT[key] = Raster(tables.write(made.cells, f"{tables.folder(s)}/{name}"), made.meta) if isinstance(made, Raster) else made
+    return _KEPT[key]
+
+
 def _flow(s, d):
-    return flow.directions(grids.terrain(s, d))
+    return _kept(s, d, "flow", lambda: flow.directions(grids.terrain(s, d)))
+
+
+def _slopes(s, d):
+    return _kept(s, d, "slopes", lambda: flow.slopes(grids.terrain(s, d), _flow(s, d)))
 
 
 def _values(raster, digits=DIGITS):
@@ -171,7 +187,7 @@ def _mask(s, d):
 
 
 _UP = f"{_G}, up(anc, id) as (select id, id from edges union all select u.anc, e.down from up u join edges e on u.id = e.id where e.down is not null)"
-_add("d8_flow", lambda s, d: _out(_flow(s, d)), f"{_G} select row, col, dir::tinyint as value from flow")
+_add("d8_flow", lambda s, d: _out(flow.directions(grids.terrain(s, d))), f"{_G} select row, col, dir::tinyint as value from flow")
 _add("validate_flow", lambda s, d: cells.failures(_flow(s, d).override(nodata=None), "flow"), f"{_G} select row, col, dir::tinyint as value from flow where dir = 0")
 _add("d8_slopes", lambda s, d: _values(flow.slopes(grids.terrain(s, d), _flow(s, d))), f"{_G} select f.row, f.col, round((a.z - b.z) / (r.run * {PIXEL}), 6) as value from flow f join dem a using (row, col) left join dirs r on f.dir = r.dir left join dem b on b.row = f.row + r.dr and b.col = f.col + r.dc")
 _add("accumulation", lambda s, d: _values(flow.accumulation(_flow(s, d))), f"{_UP} select f.row, f.col, n::double as value from flow f left join (select id, count(*) as n from up group by id) on id = f.row::bigint * {WIDTH} + f.col")
@@ -197,10 +213,14 @@ _add("fill_depressions", lambda s, d: _values(condition.fill_depressions(_small(
 _add("resolve_flats", lambda s, d: _values(condition.resolve_flats(condition.fill_depressions(_small(s, d)))))
 
 # --- networks ------------------------------------------------------------------------------------
-STREAM = 40
+STREAM = 10
 
 
 def _network(s, d):
+    return _kept(s, d, "network", lambda: _new_network(s, d))
+
+
+def _new_network(s, d):
     f = _flow(s, d)
     streams = flow.accumulation(f)
     return network.build(f, streams.with_value(~F.isnan("value") & (F.col("value") >= STREAM), dtype="bool", nodata=False))
@@ -213,7 +233,7 @@ st as materialized (select n.*, coalesce(k, 0) as k from node n left join fed us
 walk(head, id, ord) as (select id, id, 0 from st where k <> 1 union all select w.head, b.id, w.ord + 1 from walk w join st a on w.id = a.id join st b on a.down = b.id where b.k = 1),
 pix as materialized (select head + 1 as id, ord, row, col, next_row, next_col, st.id as cell, down from walk join st using (id)),
 seg as materialized (select p.id, c.id as child, p.row as end_row, p.col as end_col, p.ord + 1 as n_pixels, p.cell as end_cell from (select *, row_number() over (partition by id order by ord desc) as k from pix) p left join pix c on p.down = c.cell where p.k = 1)"""
-_DOWN = f"{_NET}, below(id, at) as (select id, id from seg union all select b.id, s.child from below b join seg s on b.at = s.id where s.child is not null)"
+_DOWN = f"{_NET}, below(id, dst) as (select id, id from seg union all select b.id, s.child from below b join seg s on b.dst = s.id where s.child is not null)"
 
 
 def _ids(table, *columns):
@@ -221,24 +241,24 @@ def _ids(table, *columns):
 
 
 _add("network_heads", lambda s, d: (n := _network(s, d)).segments.select("id").join(network.parents(n), "id", "left_anti"), f"{_NET} select id from seg where id not in (select child from seg where child is not null)")
-_add("network_links", lambda s, d: _network(s, d).segments.select("id", "child", "end_row", "end_col", F.col("n_pixels").cast("bigint").alias("n_pixels")), f"{_NET} select id, child, end_row, end_col, n_pixels::bigint as n_pixels from seg")
+_add("network_links", lambda s, d: _new_network(s, d).segments.select("id", "child", "end_row", "end_col", F.col("n_pixels").cast("bigint").alias("n_pixels")), f"{_NET} select id, child, end_row, end_col, n_pixels::bigint as n_pixels from seg")
 _add("segment_pixels", lambda s, d: _network(s, d).pixels.select("id", F.col("ord").cast("int").alias("ord"), "row", "col"), f"{_NET} select id, ord::int as ord, row, col from pix")
 _add("segment_length", lambda s, d: network.lengths(_network(s, d)).select("id", _r("length").alias("length")), f"{_NET} select id, round(sum({PIXEL} * sqrt(pow(next_row - row, 2) + pow(next_col - col, 2))), 6) as length from pix group by id")
 _add("outlets", lambda s, d: network.outlets(_network(s, d)), f"{_NET} select id, end_row as row, end_col as col from seg")
-_add("terminal_outlets", lambda s, d: network.outlets(_network(s, d), terminal=True), f"{_DOWN} select b.id, s.end_row as row, s.end_col as col from below b join seg s on b.at = s.id where s.child is null")
+_add("terminal_outlets", lambda s, d: network.outlets(_network(s, d), terminal=True), f"{_DOWN} select b.id, s.end_row as row, s.end_col as col from below b join seg s on b.dst = s.id where s.child is null")
 _add("isterminal", lambda s, d: network.is_terminal(_network(s, d)), f"{_NET} select id, child is null as is_terminal from seg")
-_add("termini", lambda s, d: network.termini(_network(s, d)).select("id", "terminus"), f"{_DOWN} select b.id, b.at as terminus from below b join seg s on b.at = s.id where s.child is null")
+_add("termini", lambda s, d: network.termini(_network(s, d)).select("id", "terminus"), f"{_DOWN} select b.id, b.dst as terminus from below b join seg s on b.dst = s.id where s.child is null")
 _add("parents", lambda s, d: network.parents(_network(s, d)), f"{_NET} select child as id, id as parent from seg where child is not null")
 _add("child", lambda s, d: network.children(_network(s, d)), f"{_NET} select id, child from seg where child is not null")
-_add("ancestors", lambda s, d: network.ancestors(_network(s, d)), f"{_DOWN} select at as id, id as ancestor from below where id <> at")
-_add("descendents", lambda s, d: network.descendents(_network(s, d)), f"{_DOWN} select id, at as descendent from below where id <> at")
-_add("family", lambda s, d: network.family(_network(s, d)).groupBy("terminus").agg(F.count("*").alias("n")), f"{_DOWN} select b.at as terminus, count(*) as n from below b join seg s on b.at = s.id where s.child is null group by b.at")
-_add("continuous_filter", lambda s, d: network.continuous(n := _network(s, d), n.segments.where("id % 3 <> 0").select("id")), f"{_DOWN} select id from seg s where not (id % 3 = 0 and ((select bool_and(at % 3 = 0) from below b where b.id = s.id) or (select bool_and(b.id % 3 = 0) from below b where b.at = s.id)))")
+_add("ancestors", lambda s, d: network.ancestors(_network(s, d)), f"{_DOWN} select dst as id, id as ancestor from below where id <> dst")
+_add("descendents", lambda s, d: network.descendents(_network(s, d)), f"{_DOWN} select id, dst as descendent from below where id <> dst")
+_add("family", lambda s, d: network.family(_network(s, d)).groupBy("terminus").agg(F.count("*").alias("n")), f"{_DOWN} select b.dst as terminus, count(*) as n from below b join seg s on b.dst = s.id where s.child is null group by b.dst")
+_add("continuous_filter", lambda s, d: network.continuous(n := _network(s, d), n.segments.where("id % 3 <> 0").select("id")), f"{_DOWN} select id from seg s where not (id % 3 = 0 and ((select bool_and(dst % 3 = 0) from below b where b.id = s.id) or (select bool_and(b.id % 3 = 0) from below b where b.dst = s.id)))")
 _add("remove_segments", lambda s, d: network.remove(n := _network(s, d), n.segments.where("id % 3 = 0").select("id")).segments.select("id", "child"), f"{_NET} select id, case when child % 3 <> 0 then child end as child from seg where id % 3 <> 0")
 _add("stream_raster", lambda s, d: _out(network.stream_raster(_network(s, d))), f"{_NET} select f.row, f.col, coalesce(id, 0) as value from flow f left join pix using (row, col)")
-_BASINS = f"{_NET}, term as (select end_cell, id from seg where child is null), last(anc, at, label, k) as (select e.id, e.id, t.id, 0 from edges e left join term t on t.end_cell = e.id union all select l.anc, e.down, coalesce(t.id, l.label), l.k + 1 from last l join edges e on l.at = e.id left join term t on t.end_cell = e.down where e.down is not null), basin as materialized (select anc, arg_max(label, k) as label from last where label is not null group by anc)"
+_BASINS = f"{_NET}, term as (select end_cell, id from seg where child is null), last(anc, dst, label, k) as (select e.id, e.id, t.id, 0 from edges e left join term t on t.end_cell = e.id union all select l.anc, e.down, coalesce(t.id, l.label), l.k + 1 from last l join edges e on l.dst = e.id left join term t on t.end_cell = e.down where e.down is not null), basin as materialized (select anc, arg_max(label, k) as label from last where label is not null group by anc)"
 _add("basins_raster", lambda s, d: _out(network.basin_raster(_network(s, d))), f"{_BASINS} select f.row, f.col, coalesce(label, 0) as value from flow f left join basin on anc = f.row::bigint * {WIDTH} + f.col")
-_add("isnested", lambda s, d: network.is_nested(_network(s, d)), f"{_BASINS}, below(id, at) as (select id, id from seg union all select b.id, s.child from below b join seg s on b.at = s.id where s.child is not null) select b.id, label <> b.at as is_nested from below b join seg s on b.at = s.id and s.child is null join basin on anc = s.end_cell")
+_add("isnested", lambda s, d: network.is_nested(_network(s, d)), f"{_BASINS}, below(id, dst) as (select id, id from seg union all select b.id, s.child from below b join seg s on b.dst = s.id where s.child is not null) select b.id, label <> b.dst as is_nested from below b join seg s on b.dst = s.id and s.child is null join basin on anc = s.end_cell")
 
 # --- summaries -----------------------------------------------------------------------------------
 _STAT = {"min": "min(v)", "max": "max(v)", "mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "std": "stddev_pop(v)", "sum": "sum(v)", "var": "var_pop(v)"}
@@ -248,45 +268,49 @@ _VALUES = "case when value <> -999 then value::double end"
 def _stat_sql(name: str) -> str:
     plain = name.removeprefix("nan")
     found = _STAT[plain]
-    return f"round({found if plain != name else f'case when count(*) = count(v) then {found} end'}, 4)"
+    return f"round({found if plain != name else f'case when count(*) = count(v) then {found} end'}, {4 if plain in ('std', 'var') else EXACT})"
+
+
+#: Digits of results that are quotients of sums of whole numbers, the same in any engine; a tie of rounding lies beyond.
+EXACT = 10
 
 
-def _stat(table):
-    return table.select("id", _r(F.when(~F.isnan("value"), F.col("value")), 4).alias("value"))
+def _stat(table, digits=EXACT):
+    return table.select("id", _r(F.when(~F.isnan("value"), F.col("value")), digits).alias("value"))
 
 
 for _name in summary.STATISTICS[1:]:
-    _add(f"segment_summary_{_name}", lambda s, d, n=_name: _stat(summary.summary(_network(s, d), n, grids.burn(s, d))), f"{_NET} select id, {_stat_sql(_name)} as value from (select id, {_VALUES} as v from pix join dnbr using (row, col)) group by id")
-    _add(f"catchment_summary_{_name}", lambda s, d, n=_name: _stat(summary.catchment_summary(_network(s, d), n, grids.burn(s, d))), f"{_NET} select s.id, {_stat_sql(_name)} as value from seg s join (select up.id, {_VALUES} as v from up join edges e on up.anc = e.id join dnbr using (row, col)) c on c.id = s.end_cell group by s.id")
+    _add(f"segment_summary_{_name}", lambda s, d, n=_name: _stat(summary.summary(_network(s, d), n, grids.burn(s, d)), 4 if n.endswith(("std", "var")) else EXACT), f"{_NET} select id, {_stat_sql(_name)} as value from (select id, {_VALUES} as v from pix join dnbr using (row, col)) group by id")
+    _add(f"catchment_summary_{_name}", lambda s, d, n=_name: _stat(summary.catchment_summary(_network(s, d), n, grids.burn(s, d)), 4 if n.endswith(("std", "var")) else EXACT), f"{_NET} select s.id, {_stat_sql(_name)} as value from seg s join (select up.id, {_VALUES} as v from up join edges e on up.anc = e.id join dnbr using (row, col)) c on c.id = s.end_cell group by s.id")
 _add("segment_summary_outlet", lambda s, d: _stat(summary.summary(_network(s, d), "outlet", grids.burn(s, d))), f"{_NET} select id, {_VALUES} as value from seg join dnbr on row = end_row and col = end_col")
 _add("catchment_summary_outlet", lambda s, d: _stat(summary.catchment_summary(_network(s, d), "outlet", grids.burn(s, d))), f"{_NET} select id, {_VALUES} as value from seg join dnbr on row = end_row and col = end_col")
 _CATCH = f"{_NET} select s.id, {{}} as value from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join flow f using (row, col) join dem d using (row, col) group by s.id"
-_add("area", lambda s, d: summary.area(_network(s, d), None).select("id", _r("value").alias("value")), _CATCH.format(f"round(count(*) * {PIXEL * PIXEL / 1e6}, 6)"))
-_add("area_terminal", lambda s, d: summary.area(_network(s, d), None, "meters", terminal=True).select("id", _r("value").alias("value")), f"{_NET} select s.id, round(count(*) * {PIXEL * PIXEL}, 6) as value from seg s join up on up.id = s.end_cell where s.child is null group by s.id")
+_add("area", lambda s, d: summary.area(_network(s, d), None).select("id", _r("value").alias("value")), _CATCH.format(f"round(count(*) * {PIXEL * PIXEL / 1e6}::double, 6)"))
+_add("area_terminal", lambda s, d: summary.area(_network(s, d), None, "meters", terminal=True).select("id", _r("value").alias("value")), f"{_NET} select s.id, round(count(*) * {PIXEL * PIXEL}::double, 6) as value from seg s join up on up.id = s.end_cell where s.child is null group by s.id")
 
 
 def _burned(s, d):
     return cells.severity_mask(cells.severity_estimate(grids.burn(s, d), (50, 100, 200)), "burned")
 
 
-_add("burned_area", lambda s, d: summary.burned_area(_network(s, d), _burned(s, d), "meters").select("id", _r("value").alias("value")), _CATCH.format(f"round(count(*) filter (b.value > 50) * {PIXEL * PIXEL}, 6)"))
+_add("burned_area", lambda s, d: summary.burned_area(_network(s, d), _burned(s, d), "meters").select("id", _r("value").alias("value")), _CATCH.format(f"round(count(*) filter (b.value > 50) * {PIXEL * PIXEL}::double, 6)"))
 _add("burn_ratio", lambda s, d: summary.burn_ratio(_network(s, d), _burned(s, d)).select("id", _r("value").alias("value")), _CATCH.format("round(count(*) filter (b.value > 50) / count(*), 6)"))
 _add("in_mask", lambda s, d: summary.in_mask(_network(s, d), _burned(s, d)), f"{_NET} select id, bool_or(value > 50) as value from pix join dnbr using (row, col) group by id")
-_add("kf_factor", lambda s, d: summary.kf_factor(_network(s, d), grids.soil(s, d)).select("id", _r("value", 4).alias("value")), _CATCH.format("round(avg(so.value), 4)"))
-_add("scaled_dnbr", lambda s, d: _stat(summary.scaled_dnbr(_network(s, d), grids.burn(s, d), omitnan=True)), _CATCH.format("round(avg(b.value) filter (b.value <> -999) / 1000, 4)"))
-_add("scaled_thickness", lambda s, d: _stat(summary.scaled_thickness(_network(s, d), grids.soil(s, d))), _CATCH.format("round(avg(so.value) / 100, 4)"))
+_add("kf_factor", lambda s, d: summary.kf_factor(_network(s, d), grids.soil(s, d)).select("id", _r("value", 10).alias("value")), _CATCH.format("round(avg(so.value), 10)"))
+_add("scaled_dnbr", lambda s, d: _stat(summary.scaled_dnbr(_network(s, d), grids.burn(s, d), omitnan=True)), _CATCH.format("round(avg(b.value) filter (b.value <> -999) / 1000, 10)"))
+_add("scaled_thickness", lambda s, d: _stat(summary.scaled_thickness(_network(s, d), grids.soil(s, d))), _CATCH.format("round(avg(so.value) / 100, 10)"))
 _SLOPE = "(select a.row, a.col, (a.z - b.z) / (r.run * 10.0) as slope from flow f join dem a using (row, col) join dirs r on f.dir = r.dir join dem b on b.row = f.row + r.dr and b.col = f.col + r.dc)"
-_add("sine_theta", lambda s, d: (lambda sl: _stat(summary.sine_theta(_network(s, d), sl.with_value(F.sin(F.atan("value"))))))(flow.slopes(grids.terrain(s, d), _flow(s, d))), f"{_NET} select s.id, round(avg(sin(atan(slope))), 4) as value from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join {_SLOPE} x using (row, col) group by s.id")
-_add("segment_slope", lambda s, d: _stat(summary.slope(_network(s, d), flow.slopes(grids.terrain(s, d), _flow(s, d)))), f"{_NET} select id, round(avg(slope), 4) as value from pix join {_SLOPE} x using (row, col) group by id")
-_add("ruggedness", lambda s, d: _stat(summary.ruggedness(_network(s, d), grids.soil(s, d), 2.0)), f"{_NET} select s.id, round(max(so.value) / 2 / sqrt(count(*) * 100), 4) as value from seg s join up on up.id = s.end_cell join soil so on so.row = s.end_row and so.col = s.end_col group by s.id")
+_add("sine_theta", lambda s, d: (lambda sl: _stat(summary.sine_theta(_network(s, d), sl.with_value(F.sin(F.atan("value")))), 6))(_slopes(s, d)), f"{_NET} select s.id, round(avg(sin(atan(slope))), 6) as value from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join {_SLOPE} x using (row, col) group by s.id")
+_add("segment_slope", lambda s, d: _stat(summary.slope(_network(s, d), _slopes(s, d)), 6), f"{_NET} select id, round(avg(slope), 6) as value from pix join {_SLOPE} x using (row, col) group by id")
+_add("ruggedness", lambda s, d: _stat(summary.ruggedness(_network(s, d), grids.soil(s, d), 2.0)), f"{_NET} select s.id, round(max(so.value) / 2 / sqrt(count(*) * 100), 10) as value from seg s join up on up.id = s.end_cell join soil so on so.row = s.end_row and so.col = s.end_col group by s.id")
 _add(
     "m1_variables",
-    lambda s, d: summary.m1_variables(_network(s, d), _burned(s, d), flow.slopes(grids.terrain(s, d), _flow(s, d)), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(c, 4).alias(c) for c in "tfs")),
-    f"{_NET} select s.id, round(count(*) filter (b.value > 50 and slope >= {math.tan(math.radians(23))!r}) / count(*), 4) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 4) as f, round(avg(so.value), 4) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id",
+    lambda s, d: summary.m1_variables(_network(s, d), _burned(s, d), _slopes(s, d), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(c, 10).alias(c) for c in "tfs")),
+    f"{_NET} select s.id, round(count(*) filter (b.value > 50 and slope >= {math.tan(math.radians(23))!r}) / count(*), 10) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 10) as f, round(avg(so.value), 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id",
 )
-_add("m2_variables", lambda s, d: summary.m2_variables(_network(s, d), _burned(s, d), flow.slopes(grids.terrain(s, d), _flow(s, d)), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(F.when(~F.isnan(c), F.col(c)), 4).alias(c) for c in "tfs")), f"{_NET} select s.id, round(avg(sin(atan(slope))) filter (b.value > 50), 4) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 4) as f, round(avg(so.value), 4) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
-_add("m3_variables", lambda s, d: summary.m3_variables(_network(s, d), _burned(s, d), grids.soil(s, d), grids.soil(s, d)).select("id", *(_r(c, 4).alias(c) for c in "tfs")), f"{_NET} select s.id, round(max(o.value) / sqrt(count(*) * 100), 4) as t, round(count(*) filter (b.value > 50) / count(*), 4) as f, round(avg(so.value) / 100, 4) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join soil o on o.row = s.end_row and o.col = s.end_col group by s.id")
-_add("m4_variables", lambda s, d: summary.m4_variables(_network(s, d), _burned(s, d), flow.slopes(grids.terrain(s, d), _flow(s, d)), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(c, 4).alias(c) for c in "tfs")), f"{_NET} select s.id, round(count(*) filter (b.value > 50 and slope >= {math.tan(math.radians(30))!r}) / count(*), 4) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 4) as f, round(avg(so.value) / 100, 4) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
+_add("m2_variables", lambda s, d: summary.m2_variables(_network(s, d), _burned(s, d), _slopes(s, d), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(F.when(~F.isnan(c), F.col(c)), 6 if c == "t" else 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(avg(sin(atan(slope))) filter (b.value > 50), 6) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 10) as f, round(avg(so.value), 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
+_add("m3_variables", lambda s, d: summary.m3_variables(_network(s, d), _burned(s, d), grids.soil(s, d), grids.soil(s, d)).select("id", *(_r(c, 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(max(o.value) / sqrt(count(*) * 100), 10) as t, round(count(*) filter (b.value > 50) / count(*), 10) as f, round(avg(so.value) / 100, 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join soil o on o.row = s.end_row and o.col = s.end_col group by s.id")
+_add("m4_variables", lambda s, d: summary.m4_variables(_network(s, d), _burned(s, d), _slopes(s, d), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(c, 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(count(*) filter (b.value > 50 and slope >= {math.tan(math.radians(30))!r}) / count(*), 10) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 10) as f, round(avg(so.value) / 100, 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
 _add("confinement", lambda s, d: _stat(summary.confinement(_network(s, d), grids.terrain(s, d), 4)))
 
 # --- models --------------------------------------------------------------------------------------
