@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,8 +190,6 @@ def basin_features(network: net.Network, properties: DataFrame | None = None, cr
     """
     import json
 
-    import pandas as pd
-
     cells = net.basins(network)
     own = cells.select("row", "col", F.col("basin").alias("id"))
     sides = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(k).alias("side")) for k, (dr, dc) in enumerate(((-1, 0), (0, 1), (1, 0), (0, -1)))))
@@ -199,7 +198,7 @@ def basin_features(network: net.Network, properties: DataFrame | None = None, cr
     border = asked.join(other, ["nr", "nc"], "left").where("other is null or other <> id").select("id", "row", "col", "side")
     t, source, target = network.meta.grid, network.meta.crs, crs
 
-    def trace(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         corner = {0: ((0, 0), (0, 1)), 1: ((0, 1), (1, 1)), 2: ((1, 1), (1, 0)), 3: ((1, 0), (0, 0))}
         ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r, c, side in zip(pdf.row, pdf.col, pdf.side):

@@ -91,13 +91,13 @@ def relief(dem: Raster, flow: Raster, check: bool = False) -> Raster:
     """
     flow = dem.validate(flow, "flow")
     z = dem.as_nan("z").where(~F.isnan("z"))
-    table = edges(flow, check).select("id", "row", "col", "down").join(z, ["row", "col"])
-    table = table.join(table.select(F.col("id").alias("__d"), F.col("z").alias("zd")), F.col("down") == F.col("__d"), "left").drop("__d")
-    table = table.withColumn("down", F.when(F.col("zd").isNotNull(), F.col("down")))
+    below = z.select(F.col("row").alias("next_row"), F.col("col").alias("next_col"), F.col("z").alias("zd"))
+    table = edges(flow, check).select("id", "row", "col", "down", "next_row", "next_col").join(z, ["row", "col"]).join(below, ["next_row", "next_col"], "left")
+    table = table.select("id", "row", "col", "z", "zd", F.when(F.col("zd").isNotNull(), F.col("down")).alias("down"))
     fed = table.where("down is not null").select(F.col("down").alias("__to")).distinct()
     table = table.join(fed, F.col("id") == F.col("__to"), "left").withColumn("ridge", F.col("__to").isNull()).drop("__to")
-    below = table.where("ridge and down is not null").select(F.col("down").alias("__to")).distinct()
-    table = table.join(below, F.col("id") == F.col("__to"), "left").withColumn("m", F.when(F.col("__to").isNotNull(), F.col("z")).otherwise(float("-inf"))).drop("__to")
+    under = table.where("ridge and down is not null").select(F.col("down").alias("__to")).distinct()
+    table = table.join(under, F.col("id") == F.col("__to"), "left").withColumn("m", F.when(F.col("__to").isNotNull(), F.col("z")).otherwise(float("-inf"))).drop("__to")
     found = D.upstream(table.select("id", "down", "row", "col", "z", "zd", "ridge", "m"), {"m": D.MAX})
     return _onto(flow, found.select("row", "col", F.when(F.col("ridge"), 0.0).otherwise(F.col("m") - F.coalesce("zd", "z")).alias("value")))
 

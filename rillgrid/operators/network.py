@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,9 +244,7 @@ def reference_order(network: Network) -> DataFrame:
 
     The walk is sequential by nature; it runs over the table of segments in one task, for networks of modest size.
     """
-    import pandas as pd
-
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         child = dict(zip(pdf.id, pdf.child))
         waiting = pdf.child.dropna().value_counts().to_dict()
         out = []

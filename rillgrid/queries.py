@@ -199,7 +199,7 @@ _add("accumulation_nodata", lambda s, d: _values(flow.accumulation(_flow(s, d),
 _add(
     "relief",
     lambda s, d: _values(flow.relief(grids.terrain(s, d), _flow(s, d))),
-    f"{_UP}, ridge as (select id from edges where id not in (select down from edges where down is not null)), top as (select up.id, max(z) as m from up join (select distinct e.down from edges e join ridge using (id) where e.down is not null) c on up.anc = c.down join edges e on e.id = c.down join dem using (row, col) group by up.id) select f.row, f.col, case when e.id is null then null when r.id is not null then 0 else (t.m - coalesce(zd.z, d.z))::double end as value from flow f join dem d using (row, col) left join edges e on e.row = f.row and e.col = f.col left join ridge r on r.id = e.id left join top t on t.id = e.id left join edges n on n.id = e.down left join dem zd on zd.row = n.row and zd.col = n.col",
+    f"{_UP}, ridge as (select id from edges where id not in (select down from edges where down is not null)), top as (select up.id, max(z) as m from up join (select distinct e.down from edges e join ridge using (id) where e.down is not null) c on up.anc = c.down join edges e on e.id = c.down join dem using (row, col) group by up.id) select f.row, f.col, case when e.id is null then null when r.id is not null then 0 else (t.m - coalesce(zd.z, d.z))::double end as value from flow f join dem d using (row, col) left join edges e on e.row = f.row and e.col = f.col left join ridge r on r.id = e.id left join top t on t.id = e.id left join dem zd on zd.row = e.next_row and zd.col = e.next_col",
 )
 _add("catchment_mask", lambda s, d: _out(flow.catchment(_flow(s, d), 40, 32)), f"{_UP} select f.row, f.col, coalesce(hit, false) as value from flow f left join (select anc, true as hit from up where id = 40 * {WIDTH} + 32 group by anc) on anc = f.row::bigint * {WIDTH} + f.col")
 _add("fill_pits", lambda s, d: _values(condition.fill_pits(grids.terrain(s, d))), f"{_G}, low as (select a.row, a.col, min(b.z) as low from dem a cross join dirs d join dem b on b.row = a.row + d.dr and b.col = a.col + d.dc group by 1, 2) select row, col, (case when row between 1 and (select max(row) - 1 from dem) and col between 1 and {WIDTH - 2} and z < low then low else z end)::double as value from dem join low using (row, col)")
