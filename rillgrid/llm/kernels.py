@@ -26,7 +26,11 @@ def as_array(column) -> pa.Array:
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n+1 offsets of a string column; a null text counts as an empty one."""
+    """Bytes and n+1 offsets of a string column; a null text counts as an empty one.
+
+    Called once a batch, it also has Arrow give back the memory of batches gone by.
+    """
+    pa.default_memory_pool().release_unused()
     column = as_array(column)
     if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
         column = column.cast(pa.string())

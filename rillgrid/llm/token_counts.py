@@ -13,6 +13,7 @@ from . import bpe
 from . import kernels as K
 
 BUDGETS = (512, 2048, 8192)
+BLOCK = 2 << 20  # bytes of text worked on at a time, a dozen integers for each of which are held
 
 
 def block_counts(coder: bpe.Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,7 @@ def prefix_table(docs: DataFrame, path: str = bpe.VOCABULARY, id_column: str = "
         for batch in batches:
             ids = K.as_array(batch.column(id_column))
             data, offsets = K.text_buffer(batch.column("text"))
-            for i, j in K.spans(offsets):
+            for i, j in K.spans(offsets, BLOCK):
                 counts, per_doc = block_counts(coder, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.cumsum(per_doc)
                 totals = np.where(per_doc > 0, np.append(counts, 0)[np.maximum(ends - 1, 0)], 0)
