@@ -55,16 +55,27 @@ def _scope(network: Network, table: DataFrame, terminal: bool) -> DataFrame:
     return table.join(network.segments.where("child is null").select("id"), "id", "left_semi") if terminal else table
 
 
-_LABELS: dict[int, tuple[Network, DataFrame]] = {}
+_KEPT: dict[tuple[int, str], tuple[Network, DataFrame]] = {}
+
+
+def _kept(network: Network, name: str, make) -> DataFrame:
+    """A table about a network that all statistics of it share, worked out once; the last few networks' are known."""
+    key = (id(network), name)
+    if key not in _KEPT:
+        _KEPT[key] = (network, make())
+        while len(_KEPT) > 16:
+            _KEPT.pop(next(iter(_KEPT)))
+    return _KEPT[key][1]
 
 
 def labelled(network: Network) -> DataFrame:
-    """``cell_segments`` of a network, worked out once for all statistics of it."""
-    if id(network) not in _LABELS:
-        _LABELS[id(network)] = (network, tables.write(cell_segments(network), f"{tables.folder(network.pixels.sparkSession)}/labels"))
-        while len(_LABELS) > 8:
-            _LABELS.pop(next(iter(_LABELS)))
-    return _LABELS[id(network)][1]
+    """``cell_segments`` of a network, as a written table."""
+    return _kept(network, "labels", lambda: tables.write(cell_segments(network), f"{tables.folder(network.pixels.sparkSession)}/labels"))
+
+
+def closure(network: Network) -> DataFrame:
+    """``(id, descendant)`` of a network's segments; its steps are written tables already."""
+    return _kept(network, "closure", lambda: D.closure(network.forest()))
 
 
 def _cells(network: Network, rasters: dict[str, Raster], mask: Raster | None) -> DataFrame:
@@ -112,7 +123,7 @@ def catchment_summaries(network: Network, wanted: dict[str, tuple[str, Raster]],
         return reduce(lambda a, b: a.join(b, "id"), parts)
     table = _cells(network, {c: r for c, (_, r) in wanted.items()}, mask)
     by_segment = table.groupBy("id").agg(*(p for c in wanted for p in _partial(F.col(c), c)))
-    below = D.closure(network.forest())
+    below = closure(network)
     merged = below.join(by_segment, "id").groupBy(F.col("descendant").alias("id")).agg(*(m for c in wanted for m in _merged(c)))
     out = network.segments.select("id").join(merged, "id", "left").select("id", *(_final(s, c).alias(c) for c, (s, _) in wanted.items()))
     return _scope(network, out, terminal)
@@ -125,7 +136,7 @@ def catchment_summary(network: Network, name: str, raster: Raster, mask: Raster
     if name == "outlet":
         return at_outlets(network, raster, terminal)
     if name in ("median", "nanmedian"):
-        below = D.closure(network.forest())
+        below = closure(network)
         cells = _cells(network, {"value": raster}, mask)
         found = below.join(cells, "id").groupBy(F.col("descendant").alias("id")).agg(statistic(name).alias("value"))
         return _scope(network, network.segments.select("id").join(found, "id", "left").select("id", F.coalesce("value", F.lit(NAN)).alias("value")), terminal)
@@ -135,7 +146,7 @@ def catchment_summary(network: Network, name: str, raster: Raster, mask: Raster
 def pixel_counts(network: Network, mask: Raster | None = None, terminal: bool = False) -> DataFrame:
     """``(id, value)``: number of cells in each catchment, within a mask."""
     by_segment = _cells(network, {}, mask).groupBy("id").agg(F.count("*").alias("n"))
-    found = D.closure(network.forest()).join(by_segment, "id").groupBy(F.col("descendant").alias("id")).agg(F.sum("n").alias("value"))
+    found = closure(network).join(by_segment, "id").groupBy(F.col("descendant").alias("id")).agg(F.sum("n").alias("value"))
     return _scope(network, network.segments.select("id").join(found, "id", "left").select("id", F.coalesce("value", F.lit(0)).alias("value")), terminal)
 
 

@@ -33,7 +33,7 @@ def rows_of(spark: SparkSession, sf_dir: str) -> int:
 
 def terrain(spark: SparkSession, sf_dir: str) -> Raster:
     """Whole heights that fall towards higher rows and the middle column."""
-    z = (2 * (499 - F.col("row")) + F.abs(F.col("col") - 32) + F.floor(F.col("v") * 20)).cast("int")
+    z = (4 * (499 - F.col("row")) + 2 * F.abs(F.col("col") - 32) + F.floor(F.col("v") * 20)).cast("int")
     return _raster(matrix(spark, sf_dir).select("row", "col", z.alias("value")), rows_of(spark, sf_dir), dtype="int32", nodata=None, name="dem")
 
 
@@ -53,7 +53,7 @@ def soil(spark: SparkSession, sf_dir: str) -> Raster:
 
 SQL = f"""
 g as (select vec_id::int as row, unnest(generate_series(0, {WIDTH - 1}))::int as col, unnest(embedding)::double as v from embeddings),
-dem as materialized (select row, col, (2 * (499 - row) + abs(col - 32) + floor(v * 20))::int as z from g),
+dem as materialized (select row, col, (4 * (499 - row) + 2 * abs(col - 32) + floor(v * 20))::int as z from g),
 dnbr as materialized (select row, col, (case when (row * {WIDTH} + col) % 17 = 0 then -999 else floor(v * 1000) end)::int as value from g),
 soil as materialized (select row, col, (floor(abs(v) * 100) + 10)::double as value from g),
 dirs(dir, dr, dc, run, tie) as (values (1, 0, 1, 1.0::double, 2), (2, -1, 1, sqrt(2), 1), (3, -1, 0, 1.0, 0), (4, -1, -1, sqrt(2), 7), (5, 0, -1, 1.0, 6), (6, 1, -1, sqrt(2), 5), (7, 1, 0, 1.0, 4), (8, 1, 1, sqrt(2), 3)),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from . import projection as P
 from .functions import classes as C
 from .functions import formats, hazard, likelihood, nodata, rainfall, slope, units, volume
-from .functions.expr import NAN
 from .operators import cells, condition, features, flow, network, spatial, summary
 from .plans import assessment, grids, tables
 from .plans.grids import PIXEL, WIDTH
@@ -79,7 +78,8 @@ def _round_trip(s, d):
 
 
 _add("reproject_round_trip", _round_trip, "select c_custkey, round(-117 + c_nationkey / 10, 6) as lon, round(30 + c_acctbal / 1e3, 6) as lat from customer")
-_add("driver_extensions", lambda s, d: formats.extensions(s, "raster").unionByName(formats.extensions(s, "vector")))
+_add("driver_extensions", lambda s, d: formats.extensions(s, "raster").unionByName(formats.extensions(s, "vector")), "select * from (values " + ", ".join(f"('{e}', '{name}')" for kind in formats.TABLES.values() for name, own in kind.items() for e in own) + ") t(extension, driver)")
+_add("formats", lambda s, d: formats.table(s).select("kind", "driver", F.array_join("extensions", ", ").alias("extensions")), "select * from (values " + ", ".join(f"('{k}', '{name}', '{', '.join(own)}')" for k, kind in formats.TABLES.items() for name, own in kind.items()) + ") t(kind, driver, extensions)")
 _add("driver_of_path", lambda s, d: grids.table(s, d, "part").select("p_partkey", formats.driver_of(F.concat(F.lit("/a.b/x."), F.element_at(F.array(*map(F.lit, ("tif", "TIFF", "img", "zzz"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))), "raster").alias("driver")), "select p_partkey, case p_partkey % 4 when 0 then 'GTiff' when 1 then 'GTiff' when 2 then 'HFA' end as driver from part")
 _add("slugs", lambda s, d: grids.table(s, d, "part").select("p_partkey", formats.slug(F.col("p_name")).alias("slug")), r"select p_partkey, regexp_replace(trim(regexp_replace(lower(p_name), '[^a-z0-9\s-]', '', 'g')), '[\s-]+', '-', 'g') as slug from part")
 
@@ -155,7 +155,6 @@ _add("rasterize_polygons", _boxes, "select g.r::int as row, g.c::int as col, coa
 _add("window_features", lambda s, d: features.within(grids.table(s, d, "customer").select("c_custkey", F.pmod("c_custkey", F.lit(640)).cast("double").alias("x"), (-F.pmod(F.col("c_custkey") * 3, F.lit(900))).cast("double").alias("y")), Bounds(100, -500, 300, -50)), "select c_custkey, (c_custkey % 640)::double as x, (-((c_custkey * 3) % 900))::double as y from customer where c_custkey % 640 between 100 and 300 and (c_custkey * 3) % 900 between 50 and 500")
 
 # --- flow ----------------------------------------------------------------------------------------
-_NEG = "'nan'::double"
 
 
 _KEPT: dict[tuple, object] = {}
@@ -311,7 +310,12 @@ _add(
 _add("m2_variables", lambda s, d: summary.m2_variables(_network(s, d), _burned(s, d), _slopes(s, d), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(F.when(~F.isnan(c), F.col(c)), 6 if c == "t" else 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(avg(sin(atan(slope))) filter (b.value > 50), 6) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 10) as f, round(avg(so.value), 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
 _add("m3_variables", lambda s, d: summary.m3_variables(_network(s, d), _burned(s, d), grids.soil(s, d), grids.soil(s, d)).select("id", *(_r(c, 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(max(o.value) / sqrt(count(*) * 100), 10) as t, round(count(*) filter (b.value > 50) / count(*), 10) as f, round(avg(so.value) / 100, 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join soil o on o.row = s.end_row and o.col = s.end_col group by s.id")
 _add("m4_variables", lambda s, d: summary.m4_variables(_network(s, d), _burned(s, d), _slopes(s, d), grids.burn(s, d), grids.soil(s, d), omitnan=True).select("id", *(_r(c, 10).alias(c) for c in "tfs")), f"{_NET} select s.id, round(count(*) filter (b.value > 50 and slope >= {math.tan(math.radians(30))!r}) / count(*), 10) as t, round(avg(b.value) filter (b.value <> -999) / 1000, 10) as f, round(avg(so.value) / 100, 10) as s from seg s join up on up.id = s.end_cell join edges e on up.anc = e.id join dnbr b using (row, col) join soil so using (row, col) join {_SLOPE} x using (row, col) group by s.id")
-_add("confinement", lambda s, d: _stat(summary.confinement(_network(s, d), grids.terrain(s, d), 4)))
+_ACROSS = ", ".join(f"({d}, {k}, {dr}, {dc})" for d, two in summary._ACROSS.items() for k, (dr, dc) in enumerate(two))
+_add(
+    "confinement",
+    lambda s, d: _stat(summary.confinement(_network(s, d), grids.terrain(s, d), 4), 6),
+    f"{_NET}, ac(dir, side, dr, dc) as (values {_ACROSS}), near as (select p.id, p.row, p.col, side, max(b.z) as top, any_value(a.z) as z, any_value(case when f.dir % 2 = 1 then {PIXEL}::double else sqrt({2 * PIXEL * PIXEL}) end * 4) as run from pix p join flow f using (row, col) join dem a using (row, col) join ac on ac.dir = f.dir cross join range(1, 5) k(k) join dem b on b.row = p.row + k.k * ac.dr and b.col = p.col + k.k * ac.dc group by p.id, p.row, p.col, side) select s.id, round(180 - degrees(avg(atan((top - z) / run)) filter (side = 0) + avg(atan((top - z) / run)) filter (side = 1)), 6) as value from seg s left join near using (id) group by s.id",
+)
 
 # --- models --------------------------------------------------------------------------------------
 _VARS = "vars as materialized (select o_orderkey as id, avg(l_discount) as t, avg(l_tax) as f, avg(l_quantity) / 50 as s from orders join lineitem on o_orderkey = l_orderkey group by 1)"
@@ -376,6 +380,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-__all__ = ["queries", "oracle_sql", "NAN"]
