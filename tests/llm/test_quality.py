@@ -32,7 +32,7 @@ def junk(rng):
 
 def test_rules_match_duckdb(spark, odd):
     rng = random.Random(1)
-    rows = [(i, t) for i, t in enumerate([*junk(rng), *(sentence(rng, n) for n in (1, 3, 40, 400)), "one\ntwo\n\nthree", " a  a\na a "])]
+    rows = [(1000 + i, t) for i, t in enumerate([*junk(rng), *(sentence(rng, n) for n in (1, 3, 40, 400)), "one\ntwo\n\nthree", " a  a\na a "])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     documents = docs.toArrow()  # noqa: F841
     want = duckdb.connect().execute(quality_rules.duckdb_sql()).fetchall()
@@ -40,7 +40,7 @@ def test_rules_match_duckdb(spark, odd):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(want, key=key)
     kept = {r[0] for r in got if r[1]}
-    assert not kept & set(range(11)) and {11, 12, 13, 14} <= kept
+    assert not kept & set(range(1000, 1011)) and {1011, 1012, 1013, 1014} <= kept
 
 
 def test_any_order_gives_the_same(spark):
