@@ -13,8 +13,8 @@ from . import kernels as K
 from .common import components, shared_dir, written
 
 BITS = 128
-RADIUS = 20
-TABLES = 24
+RADIUS = 22
+TABLES = 32
 SAMPLED = 16
 CAP = 512
 MORE_BITS, MORE_TABLES, LEVELS = 4, 3, 3

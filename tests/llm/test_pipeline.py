@@ -1,5 +1,5 @@
 import corpus_pipeline
-from rillgrid.llm import langid, packing, quality_rules
+from rillgrid.llm import langid, packing, quality_rules, simhash
 
 from .conftest import DATA
 from .test_simhash import brute_force
@@ -11,7 +11,7 @@ def test_stages_against_brute_force(spark):
     spoken = {r.doc_id for r in langid.identify(docs).where("is_kept").collect()}
     good = {r.doc_id for r in quality_rules.judge(docs).where("is_kept").collect()}
     left = sorted(spoken & good)
-    groups = brute_force(left, [rows[i] for i in left], 20)
+    groups = brute_force(left, [rows[i] for i in left], simhash.RADIUS)
     want = {i for i in left if groups[i] == i}
     table, seen = docs, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
