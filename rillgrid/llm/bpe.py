@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BLOCK = 2 << 20  # bytes of text whose distinct pre-tokens are encoded together
 _L, _N, _S, _O = 0, 1, 2, 3
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CLASSES: list[np.ndarray] = []
@@ -157,7 +158,7 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.starts = np.concatenate(([0], np.cumsum(self.size)))
         self.sizes = np.array(self.size, np.int64)
-        self.pairs = _Table(22, 6)
+        self.pairs = _Table(21, 6)
         children: dict[int, int] = {}
         ends = [-1]
         self.shorter = np.full(len(self.tokens), -1, np.int32)  # the longest token that properly begins each
@@ -449,7 +450,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id", t
         for batch in batches:
             column, ids = K.as_array(batch.column("text")), batch.column(id_column)
             data, offsets = K.text_buffer(column)
-            for i, j in K.spans(offsets):
+            for i, j in K.spans(offsets, BLOCK):
                 block, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 tokens, counts = coder.encode_block(block, bounds)
                 same = np.concatenate(([0], np.cumsum(coder.decode_block(tokens) != block)))
@@ -493,7 +494,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_column: str = "doc_
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("text"))
             counts = np.zeros(batch.num_rows, np.int64)
-            for i, j in K.spans(offsets):
+            for i, j in K.spans(offsets, BLOCK):
                 block, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 counts[i:j] = coder.count_block(block, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(counts)], names=[id_column, "n_tokens"])

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _INV_BASE = pow(_BASE, -1, 1 << 64)
