@@ -34,7 +34,7 @@ def test_catalogue(spark):
     fetch, asked = canned({"total": 7, "items": [product(k) for k in range(5)]}, {"total": 7, "items": [product(5), product(6)]})
     rows = services.Catalogue("http://api", fetch).tiles(spark, "dem", bounds=BOX, formats="GeoTIFF", page=5).orderBy("left").collect()
     assert len(rows) == 7 and str(rows[3].published) == "2020-02-03" and rows[3].left == 3
-    assert [p["offset"] for _, p in asked] == [0, 5] and all(p["prodFormats"] == "GeoTIFF" and p["bbox"] == "-118.0,34.0,-117.0,35.0" for _, p in asked)
+    assert [p["offset"] for _, p in asked] == [0, 5] and all(p["prodFormats"] == "GeoTIFF" and p["bbox"] == "-118,34,-117,35" for _, p in asked)
     with pytest.raises(TooManyProductsError):
         services.Catalogue("http://api", canned({"total": 7, "items": []})[0]).products("dem", max_products=3)
     with pytest.raises(NoProductsError):
