@@ -12,6 +12,7 @@ DAMPING = 0.85
 ROUNDS = 16
 ROUNDS_PER_TABLE = 4
 MARGIN = 0.001
+MARGIN_HOSTS = 100  # up to so many hosts the margin is as given; beyond, it shrinks as the mean score does
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _MENTION = r"((?:[a-z0-9-]{1,63}\.)+[a-z]{2,24})"  # bounded labels keep the search linear in any text
 
@@ -39,7 +40,7 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, work: st
 
     Trust is PageRank personalised to the trusted seeds, along edges in proportion to n. Distrust is the same
     from the blocked seeds on reversed edges: who links to a blocked host is suspect. Mass at a host
-    without edges stays out of the next round. Null and repeated seeds count once or not at all.
+    without edges stays out of the next round. Null and repeated seeds count once or not at all. Scores are not rounded.
     """
     spark = edges.sparkSession
     both = edges.select(F.lit(0).alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -63,31 +64,41 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, work: st
             scores = written(scores, f"{work}/scores{step}")
     shares.unpersist()
     column = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return scores.groupBy("host").agg(F.round(column(0), 8).alias("trust"), F.round(column(1), 8).alias("distrust"))
+    return scores.groupBy("host").agg(column(0).alias("trust"), column(1).alias("distrust"))
+
+
+def scaled_margin(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, margin: float = MARGIN) -> float:
+    """``margin`` for a graph of MARGIN_HOSTS hosts or fewer, and in inverse proportion to the hosts of a larger one.
+
+    Scores sum to at most 1, so the mean score of N hosts is 1 / N, and a margin that did not shrink would reject at most 1 / margin hosts.
+    """
+    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(trusted.select("host")).unionByName(blocked.select("host"))
+    return margin * min(1.0, MARGIN_HOSTS / max(1, hosts.where("host is not null").distinct().count()))
 
 
 def filter_urls(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``(page_id, url, host, trust, distrust, is_kept)``, one row per row of ``pages``.
 
-    A host is rejected if it is blocked itself, or if its distrust exceeds its trust by more than ``margin``; all pages of a host
-    share its fate. A url without a host, null included, has null scores and is rejected. Null and
+    A host is rejected if it is blocked itself, or if its distrust exceeds its trust by more than ``scaled_margin``; all pages of a host
+    share its fate. The verdict takes scores as they are; the columns show them to 8 places. A url without a host, null included, has null scores and is rejected. Null and
     repeated page ids pass through; an empty table gives no rows; empty seeds give zero scores. Extra columns are ignored.
     """
     work = shared_dir(pages.sparkSession)
     edges = written(host_edges(pages), f"{work}/edges")
+    margin = scaled_margin(edges, trusted, blocked, margin)
     scores = propagate(edges, trusted, blocked, work, damping, rounds)
     listed = blocked.select("host").where("host is not null").distinct().withColumn("blocked", F.lit(True))
     verdict = scores.join(listed, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
     verdict = written(verdict, f"{work}/verdict")  # its true size decides how it is joined
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host")).join(verdict, "host", "left")
     named = F.col("host").isNotNull()
-    trust, distrust = (F.when(named, F.coalesce(c, F.lit(0.0))) for c in ("trust", "distrust"))
+    trust, distrust = (F.when(named, F.round(F.coalesce(c, F.lit(0.0)), 8)) for c in ("trust", "distrust"))
     keep = named & ~F.coalesce("blocked", F.lit(False)) & (F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) <= margin)
     return rows.select("page_id", "url", "host", trust.alias("trust"), distrust.alias("distrust"), keep.alias("is_kept"))
 
 
 def duckdb_sql(trusted: str, blocked: str, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
-    """The same in DuckDB's SQL; ``trusted`` and ``blocked`` are predicates over ``host``."""
+    """The same in DuckDB's SQL, for graphs of at most MARGIN_HOSTS hosts; ``trusted`` and ``blocked`` are predicates over ``host``."""
     steps = ["s0 as materialized (select * from seeds)"]
     for k in range(1, rounds + 1):
         steps.append(f"s{k} as materialized (select kind, host, sum(score) as score from (select e.kind, e.dst as host, s.score * e.share as score from s{k - 1} s join shares e on s.kind = e.kind and s.host = e.src union all select kind, host, score * (1 - {damping}) from seeds) group by kind, host)")

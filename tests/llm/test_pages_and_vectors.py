@@ -109,6 +109,18 @@ def test_no_pages_and_no_seeds(spark, pages):
     assert len(got) == len(PAGES) and all(r.is_kept == (r.host is not None) for r in got)
 
 
+def test_farms_are_found_in_a_graph_of_any_size(spark):
+    rng = random.Random(4)
+    n = 1500
+    names = [f"h{i}.net" for i in range(n)]
+    bad, farm, fine = names[: n // 3], names[n // 3 : n // 2], names[n // 2 :]
+    rows = [(i, f"http://{h}/", " ".join(rng.sample(fine if h in fine else bad, 5))) for i, h in enumerate(names)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trusted, blocked = (spark.createDataFrame([(h,) for h in part], "host string") for part in (fine[:100], bad))
+    kept = {r.host: r.is_kept for r in url_filter.filter_urls(table, trusted, blocked).collect()}
+    assert not any(kept[h] for h in bad + farm) and all(kept[h] for h in fine)
+
+
 def vectors(seed=1, n=1500, width=24):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, width))
