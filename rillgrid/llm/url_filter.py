@@ -14,6 +14,7 @@ ROUNDS_PER_TABLE = 4
 MARGIN = 0.001
 MARGIN_HOSTS = 100  # up to so many hosts the margin is as given; beyond, it shrinks as the mean score does
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+_LINK = r"""\b(?:href|src)\s{0,8}=\s{0,8}["']?\s{0,8}((?:[a-z][a-z0-9+.-]{0,15}:)?//[^\s"'<>]+)"""
 _MENTION = r"((?:[a-z0-9-]{1,63}\.)+[a-z]{2,24})"  # bounded labels keep the search linear in any text
 
 
@@ -23,16 +24,25 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst, n)``: on how many pages of host src a link to, or mention of, the crawled host dst stands.
+def host_edges(pages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, n)``: on how many pages of host src a link to, or mention of, the host dst stands.
 
+    The host of an href or src value is a host whether crawled or not, and may be an address or any name that ``host_of`` takes.
+    A mention in text counts if it names a crawled host or one of ``seeds(host)``; other words with dots need not be hosts.
     Relative links and a host's mentions of itself are no edges. Pages with a null url or html give none.
     """
     own = pages.select(host_of(F.col("url")).alias("src"), F.lower(F.col("html").cast("string")).alias("html"))
-    named = own.where("src is not null").select("src", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_MENTION), 1))).alias("dst")).where("src <> dst")
-    edges = named.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    hosts = own.select(F.col("src").alias("dst")).where("dst is not null").distinct()
-    return edges.join(hosts, "dst", "left_semi").select("src", "dst", "n")
+    address = lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u))
+    links = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_LINK), 1), address), lambda h: h.isNotNull())
+    found = own.where("src is not null").select("src", links.alias("links"), F.regexp_extract_all("html", F.lit(_MENTION), 1).alias("words"))
+    named = found.select("src", "links", F.explode(F.array_union("links", "words")).alias("dst")).where("src <> dst")
+    counted = named.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(F.array_contains("links", F.col("dst"))).alias("linked"))
+    hosts = own.select(F.col("src").alias("dst"))
+    if seeds is not None:
+        hosts = hosts.unionByName(seeds.select(F.col("host").alias("dst")))
+    known = hosts.where("dst is not null").distinct().withColumn("known", F.lit(True))
+    edges = counted.join(known, "dst", "left").select("src", "dst", F.when(F.col("known"), F.col("n")).otherwise(F.col("linked")).alias("n"))
+    return edges.where("n > 0")
 
 
 def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, work: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -84,7 +94,7 @@ def filter_urls(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, margin
     repeated page ids pass through; an empty table gives no rows; empty seeds give zero scores. Extra columns are ignored.
     """
     work = shared_dir(pages.sparkSession)
-    edges = written(host_edges(pages), f"{work}/edges")
+    edges = written(host_edges(pages, trusted.select("host").unionByName(blocked.select("host"))), f"{work}/edges")
     margin = scaled_margin(edges, trusted, blocked, margin)
     scores = propagate(edges, trusted, blocked, work, damping, rounds)
     listed = blocked.select("host").where("host is not null").distinct().withColumn("blocked", F.lit(True))
@@ -98,7 +108,7 @@ def filter_urls(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, margin
 
 
 def duckdb_sql(trusted: str, blocked: str, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
-    """The same in DuckDB's SQL, for graphs of at most MARGIN_HOSTS hosts; ``trusted`` and ``blocked`` are predicates over ``host``."""
+    """The same in DuckDB's SQL, for graphs of at most MARGIN_HOSTS hosts, all of them crawled; ``trusted`` and ``blocked`` are predicates over ``host``."""
     steps = ["s0 as materialized (select * from seeds)"]
     for k in range(1, rounds + 1):
         steps.append(f"s{k} as materialized (select kind, host, sum(score) as score from (select e.kind, e.dst as host, s.score * e.share as score from s{k - 1} s join shares e on s.kind = e.kind and s.host = e.src union all select kind, host, score * (1 - {damping}) from seeds) group by kind, host)")

@@ -109,6 +109,19 @@ def test_no_pages_and_no_seeds(spark, pages):
     assert len(got) == len(PAGES) and all(r.is_kept == (r.host is not None) for r in got)
 
 
+def test_hosts_that_are_not_crawled_have_edges(spark):
+    rows = [
+        (1, "http://farm.net/", "<a href='http://bad.info/x'>x</a> <img src=//10.0.0.7:80/i.png> me@mail.net <a href='/own'>own</a>"),
+        (2, "http://far.net/", '<a HREF = "https://u@Via_Name/z">far</a> farm.net'),
+        (3, "http://says.net/", "see bad.info"),
+    ]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trusted, blocked = (spark.createDataFrame([(h,)], "host string") for h in ("good.org", "bad.info"))
+    edges = {(r.src, r.dst, r.n) for r in url_filter.host_edges(table, blocked).collect()}
+    assert edges == {("farm.net", "bad.info", 1), ("farm.net", "10.0.0.7", 1), ("far.net", "via_name", 1), ("far.net", "farm.net", 1), ("says.net", "bad.info", 1)}
+    assert not any(r.is_kept for r in url_filter.filter_urls(table, trusted, blocked).collect())
+
+
 def test_farms_are_found_in_a_graph_of_any_size(spark):
     rng = random.Random(4)
     n = 1500
