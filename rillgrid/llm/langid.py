@@ -18,6 +18,8 @@ EVIDENCE = 200.0
 STRENGTH = 20.0
 MIN_CONFIDENCE = 0.5
 UNKNOWN = "und"
+UNSEEN = 0.1  # share of every language's trigrams that is spread evenly, as all of the background's are
+BACKGROUND = 0.01  # prior of a text in no learnt language
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
 _LETTER[0xC3:0xF5] = True
@@ -74,36 +76,38 @@ def log_likelihoods(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, declared: str = "lang", id_column: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, bits: int = BITS) -> tuple[list[str], np.ndarray]:
-    """Languages and log p(hashed trigram | language), from texts whose declared language is the label.
+    """Languages and log(p(hashed trigram | language) / p(hashed trigram | background)), from texts whose declared language is the label.
 
     The fit reads at most about ``per_language`` labelled rows of each language, chosen by a hash
-    of their id. Languages declared on fewer than 5 rows, or beyond the 64 most frequent, are not learnt.
+    of their id, and all rows of a language that has fewer. Every declared language is learnt. The background, for texts in no
+    learnt language, has all hashed trigrams alike.
     """
     rows = docs.select(primary_subtag(F.col(declared)).alias("tag"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_column)), F.lit(1_000_000)).alias("h")).where("tag is not null")
-    counts = rows.groupBy("tag").count().where("count >= 5").orderBy(F.desc("count"), "tag").limit(64).collect()
+    counts = rows.groupBy("tag").count().collect()
     languages = sorted(r["tag"] for r in counts)
     if not languages:
         return [], np.zeros((1 << bits, 0), np.float32)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("tag") == r["tag"], int(min(1.0, per_language / r["count"]) * 1_000_000)).otherwise(share)
-    chosen = rows.where(F.col("h") < share).select("tag", "text")
+    shares = docs.sparkSession.createDataFrame([(r["tag"], int(min(1.0, per_language / r["count"]) * 1_000_000)) for r in counts], "tag string, share int")
+    chosen = rows.join(F.broadcast(shares), "tag").where("h < share").select("tag", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), 1 << bits))
-        at = {tag: k for k, tag in enumerate(languages)}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("text"))
-            tags = np.array([at[t] for t in batch.column("tag").to_pylist()], np.int64)
+            tags = np.array(batch.column("tag").to_pylist(), object)
             for i, j in K.spans(offsets, 1 << 18):
                 seen = K.histograms(data, offsets, i, j, bits)
-                for k in range(len(languages)):
-                    sums[k] += seen[tags[i:j] == k].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+                for tag in set(tags[i:j]):
+                    sums[tag] = sums.get(tag, 0.0) + seen[tags[i:j] == tag].sum(0, dtype=np.float64)
+        for tag, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tag]), pa.array([total.tobytes()], pa.binary())], names=["tag", "sums"])
 
-    parts = chosen.repartition(8).mapInArrow(count, "sums binary").collect()
-    sums = sum(np.frombuffer(r["sums"]).reshape(len(languages), 1 << bits) for r in parts) + 0.1
-    return languages, np.log(sums / sums.sum(1, keepdims=True)).T.astype(np.float32)
+    # a language's sample is in one partition, so that the driver gets one row of each
+    table = np.full((1 << bits, len(languages)), 0.1)
+    for r in chosen.repartition("tag").mapInArrow(count, "tag string, sums binary").collect():
+        table[:, languages.index(r["tag"])] += np.frombuffer(r["sums"])
+    table /= table.sum(0, keepdims=True)
+    return languages, np.log((1 - UNSEEN) * table * (1 << bits) + UNSEEN).astype(np.float32)
 
 
 def _tempered(sums: np.ndarray, letters: np.ndarray, evidence: float) -> np.ndarray:
@@ -116,6 +120,11 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+def _of_languages(logs: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Posterior probabilities of the languages; what they lack to 1 is the background's."""
+    return _softmax(np.column_stack((logs, background)))[:, :-1]
+
+
 class LanguageModel:
     """Text likelihoods, declared-tag reliabilities and host priors of one corpus."""
 
@@ -127,8 +136,11 @@ class LanguageModel:
         sums, letters = log_likelihoods(text, self.table)
         logs = _tempered(sums, letters, self.evidence) + np.log(prior)
         none = np.zeros(len(self.languages))
-        logs += np.array([self.declared.get(t, none) for t in tag.to_pylist()]).reshape(len(letters), -1)
-        return _softmax(logs), letters
+        tags = tag.to_pylist()
+        logs += np.array([self.declared.get(t, none) for t in tags]).reshape(len(letters), -1)
+        # the background has any declared tag alike
+        alike = np.array([-np.log(len(self.languages)) if t in self.declared else 0.0 for t in tags])
+        return _of_languages(logs, np.log(BACKGROUND) + alike), letters
 
 
 def _evidence(docs: DataFrame, declared: str, host: str) -> list[Column]:
@@ -153,11 +165,11 @@ def train(docs: DataFrame, work: str, declared: str = "lang", host: str = "sourc
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, letters = log_likelihoods(batch.column("text"), sent.value)
-            p = _softmax(_tempered(sums, letters, evidence))[letters > 0]
+            p = _of_languages(_tempered(sums, letters, evidence) - np.log(n), np.full(len(letters), np.log(BACKGROUND)))[letters > 0]
             keys = pa.table({c: batch.column(c) for c in ("__tag", "__host", "__suffix")}).filter(pa.array(letters > 0))
             if not len(p):
                 continue
-            out = keys.append_column("n", pa.array(np.ones(len(p))))
+            out = keys.append_column("n", pa.array(np.round(p.sum(1), 9)))
             for k in range(n):
                 out = out.append_column(f"p{k}", pa.array(np.round(p[:, k], 9)))
             # summed by key within the batch, so that little is shuffled
@@ -179,9 +191,7 @@ def train(docs: DataFrame, work: str, declared: str = "lang", host: str = "sourc
         seen[languages.index(r["__tag"])] += [r[f"p{k}"] for k in range(n)]
     reliability = np.log(seen / seen.sum(0, keepdims=True))
     suffixes = counts.groupBy("__suffix").agg(*sums)
-    for k in range(n):
-        suffixes = suffixes.withColumn(f"q{k}", (F.col(f"p{k}") + strength * float(whole[k])) / (F.col("n") + strength))
-    suffixes = suffixes.select("__suffix", *(f"q{k}" for k in range(n)))
+    suffixes = suffixes.select("__suffix", *(((F.col(f"p{k}") + strength * float(whole[k])) / (F.col("n") + strength)).alias(f"q{k}") for k in range(n)))
     hosts = counts.groupBy("__host", "__suffix").agg(*sums).join(suffixes, "__suffix")
     prior = F.array(*((F.col(f"p{k}") + strength * F.col(f"q{k}")) / (F.col("n") + strength) for k in range(n)))
     hosts = written(hosts.select("__host", prior.alias("__prior")), f"{work}/hosts")
@@ -209,7 +219,7 @@ def _judged(docs: DataFrame, model: LanguageModel, declared: str, host: str, min
                 values[known] = prior.flatten().to_numpy().reshape(len(known), -1)
             p, letters = sent.value.posterior(batch.column("__text"), batch.column("__tag"), values)
             best = p.argmax(1)
-            sure = (letters > 0) & (p.max(1) >= min_confidence)
+            sure = (letters > 0) & (p.max(1) >= min_confidence) & (p.max(1) >= 1 - p.sum(1))
             names = np.array([*sent.value.languages, UNKNOWN], object)[np.where(sure, best, len(sent.value.languages))]
             kept = sure if allowed is None else sure & np.isin(names, list(allowed))
             columns = [batch.column(f.name) for f in fields]
@@ -230,8 +240,8 @@ def identify(docs: DataFrame, id_column: str = "doc_id", declared: str = "lang",
     """``(id, predicted, confidence, is_kept)``, one row per document.
 
     The posterior is proportional to the tempered text likelihood, times p(declared tag | language), times the host's
-    smoothed prior. A text without letters (null and empty texts too) or a posterior under
-    ``min_confidence`` is 'und' and rejected; so is a language outside ``accepted`` where that is given. A null
+    smoothed prior. A background in which all trigrams are alike stands for every language that is not learnt. A text without letters
+    (null and empty texts too), one that the background explains best, or a posterior under ``min_confidence`` is 'und' and rejected; so is a language outside ``accepted`` where that is given. A null
     declared tag or host says nothing. Rows with null or repeated ids are judged each by itself.
     Ties go to the language first in the alphabet. If no language can be learnt, every row is
     'und'. Extra columns are ignored.

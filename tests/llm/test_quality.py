@@ -103,6 +103,35 @@ def test_language_of_odd_rows(odd, nothing, spark):
     assert langid.identify(nothing).count() == 0 and langid.keep_identified(nothing).count() == 0
 
 
+def test_other_languages_are_unknown(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(6)
+    texts = [
+        "Сегодня утром в городе пошёл сильный дождь, и люди остались дома читать книги и пить горячий чай. ",
+        "Dzisiaj rano w mieście zaczął padać silny deszcz i wszyscy ludzie zostali w domu, żeby czytać książki. ",
+        "Tänä aamuna kaupungissa alkoi sataa kovaa ja ihmiset jäivät koteihinsa lukemaan kirjoja ja juomaan teetä. ",
+        "今天早上城里下起了大雨，人们都待在家里看书喝茶。",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
+    ]
+    other = spark.createDataFrame([(10**9 + i, t * 4, None, None, len(t)) for i, t in enumerate(texts)], docs.schema)
+    both = docs.unionByName(other)
+    got = langid.identify(both).collect()
+    assert all(r.predicted == "und" and not r.is_kept for r in got if r.doc_id >= 10**9)
+    assert np.mean([r.is_kept for r in got if r.doc_id < 10**9]) > 0.98
+    assert langid.keep_identified(both).where("doc_id >= 1000000000").count() == 0
+
+
+def test_every_declared_language_is_learnt(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(67):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"{chr(97 + k // 26)}{chr(97 + k % 26)}", None) for i in range(3 if k == 66 else 5 + (k < 64))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.predicted for r in langid.identify(table).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows)
+
+
 def test_pages_carry_their_evidence(spark):
     page = spark.createDataFrame([(1, "HTTP://A.Example.de:80/x", '<!DOCTYPE html><HTML class=a lang="de-AT"><script>var x="en";</script><p>Guten Tag</p>'), (2, None, None)], "page_id long, url string, html string")
     row = langid.pages_as_documents(page).orderBy("page_id").collect()
