@@ -168,6 +168,19 @@ def test_forest_finds_what_all_pairs_find(spark):
     assert all(got[i] == i for i, r in enumerate(want) if r == i)
 
 
+def test_trees_are_added_for_a_hot_cluster(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    own = unit(rng.normal(size=(1200, 64)))
+    near = unit(0.8 * own[:300] + 0.6 * unit(rng.normal(size=(300, 64))))
+    x = np.sqrt(0.85) * unit(rng.normal(size=64)) + np.sqrt(0.15) * np.concatenate((own, near))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, trees=2, leaf=16).collect()}
+    want = brute_groups(x, embed_dedup.THRESHOLD)
+    linked = [i for i, r in enumerate(want) if r != i]
+    assert len(linked) > 200 and sum(got[i] == want[i] for i in linked) >= 0.85 * len(linked)
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]), (9, [0.0, 1.0]), (1, [1.0, 0.0]), (10, [0.0, 5.0]), (11, [-1.0, 0.0])]
