@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embed_dedup, langid, packing, quality_knn, quality_rules, simhash, token_counts, url_filter, warc
 
-TRUSTED, BLOCKED = "host like '%.example.org'", "host like 'm.%'"
+#: The suffixes under which the crawl's sites are registered, and the declared lists of sites, by their first label.
+SUFFIXES = ("example.com", "example.org", "example.net")
+TRUSTED = "split_part(host, '.', 1) in ('tionsh', 'tionble', 'tiontion', 'ththth', 'thther', 'ththon', 'ththan', 'ththre')"
+BLOCKED = "split_part(host, '.', 1) in ('casino-win', 'spam-farm', 'cheap-pills', 'free-bets', 'ads-track', 'adult-x')"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    hosts = pages.select(url_filter.host_of(pages.url).alias("host")).distinct()
-    return url_filter.filter_urls(pages, hosts.where(TRUSTED), hosts.where(BLOCKED))
+    trusted, blocked = (url_filter.seed_sites(pages, listed, SUFFIXES) for listed in (TRUSTED, BLOCKED))
+    return url_filter.filter_urls(pages, trusted, blocked, suffixes=SUFFIXES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,6 +45,6 @@ def oracle_sql() -> dict[str, str]:
     """SQL that DuckDB runs, where SQL expresses the operator."""
     return {
         "op2_warc": warc.duckdb_sql(),
-        "op8_url_filter": url_filter.duckdb_sql(TRUSTED, BLOCKED),
+        "op8_url_filter": url_filter.duckdb_sql(TRUSTED, BLOCKED, suffixes=SUFFIXES),
         "op10_quality_rules": quality_rules.duckdb_sql(),
     }
