@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def integer(name: str) -> Column:
+    """A column of ids as bigint; null where a value is no integer."""
+    return F.expr(f"try_cast(`{name}` as bigint)")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,10 +60,11 @@ def components(edges: DataFrame, work: str, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014), which end after a
     number of rounds logarithmic in the longest path, and never gather a component in a task.
-    Self edges name nodes of their own; null ends are dropped. An empty table gives no rows.
+    A self edge names a node, which is its own root if no other edge has it; null ends are dropped. An empty table gives no rows.
     """
     spark = edges.sparkSession
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct()
+    alone = written(edges.where("a = b").select("a", "b").distinct(), f"{work}/alone")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct()
     table = written(pairs, f"{work}/cc0")
     previous = None
     for step in range(1, max_rounds + 1):
@@ -80,4 +86,6 @@ def components(edges: DataFrame, work: str, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = table.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(table.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = roots.unionByName(table.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    alone = alone.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots if alone.isEmpty() else roots.unionByName(alone.join(roots, "node", "left_anti"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillgrid.llm import embed_dedup, queries, url_filter, warc
-from rillgrid.llm.common import shared_dir
+from rillgrid.llm.common import components, shared_dir
 
 PAGES = [
     (1, "http://a.org/x", '<a href="http://b.com/1">b</a> see c.net and c.net'),
@@ -195,7 +195,7 @@ def brute_groups(x, threshold):
 def test_forest_finds_what_all_pairs_find(spark):
     x = vectors()
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, leaf=64).collect()}
+    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, leaf=64, cell=200).collect()}
     want = brute_groups(x, embed_dedup.THRESHOLD)
     linked = [i for i, r in enumerate(want) if r != i]
     assert len(linked) > 150 and len(got) == len(x)
@@ -210,7 +210,7 @@ def test_trees_are_added_for_a_hot_cluster(spark):
     near = unit(0.8 * own[:300] + 0.6 * unit(rng.normal(size=(300, 64))))
     x = np.sqrt(0.85) * unit(rng.normal(size=64)) + np.sqrt(0.15) * np.concatenate((own, near))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, trees=2, leaf=16).collect()}
+    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, trees=2, leaf=16, cell=400).collect()}
     want = brute_groups(x, embed_dedup.THRESHOLD)
     linked = [i for i, r in enumerate(want) if r != i]
     assert len(linked) > 200 and sum(got[i] == want[i] for i in linked) >= 0.85 * len(linked)
@@ -218,10 +218,37 @@ def test_trees_are_added_for_a_hot_cluster(spark):
 
 def test_odd_vectors(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]), (9, [0.0, 1.0]), (1, [1.0, 0.0]), (10, [0.0, 5.0]), (11, [-1.0, 0.0])]
-    table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "vec_id long, embedding array<float>, node string, tree string, label string")
-    got = sorted((r.vec_id, r.group_id, r.is_kept) for r in embed_dedup.near_duplicates(table).collect())
-    assert got == [(i, {2: 1, 10: 9}.get(i, i), i not in (2, 10)) for i in range(1, 12)]
+    rows = [("1", [1.0, 0.0]), ("2", [2.0, 0.0]), ("3", None), ("4", [0.0, 0.0]), ("5", [1.0]), ("6", [nan, 1.0]), ("7", [None, 1.0]), ("8", []), (None, [1.0, 0.0]), ("9", [0.0, 1.0]), ("1", [1.0, 0.0]), ("10", [0.0, 5.0]), ("11", [-1.0, 0.0]), ("12", [7.0]), ("13", [-0.0, 3.0]), ("14", [1e30, 1e20]), ("one", [0.0, 1.0]), ("15", [3.0, 4.0]), ("2", [4.0, 3.0])]
+    table = spark.createDataFrame([(*r, "x", "y", "z", 0, 1) for r in rows], "vec_id string, embedding array<float>, node string, tree string, label string, width int, `a.b` int")
+    for given in (table, table.where("vec_id rlike '^[0-9]*$' or vec_id is null").withColumn("vec_id", F.col("vec_id").cast("int"))):
+        got = sorted((r.vec_id, r.group_id, r.is_kept) for r in embed_dedup.near_duplicates(given).collect())
+        want = {2: 1, 10: 9, 12: 5, 13: 9, 14: 1, 15: 1}  # 15 is near the other vector of 2
+        assert got == [(i, want.get(i, i), i not in want) for i in range(1, 16)]
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
     many = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(2000)], "vec_id long, embedding array<double>")
-    assert {r.group_id for r in embed_dedup.near_duplicates(many, leaf=16).collect()} == {0, 1}
+    assert {r.group_id for r in embed_dedup.near_duplicates(many, leaf=16, cell=50).collect()} == {0, 1}
+    close = spark.createDataFrame([(i, [1.0, i * 1e-7]) for i in range(700)], "vec_id long, embedding array<double>")
+    assert {r.group_id for r in embed_dedup.near_duplicates(close, leaf=4, cell=100).collect()} == {0}
+    rng = np.random.default_rng(6)
+    dense = 1 + 0.1 * rng.normal(size=(600, 24))  # one group, far larger than a leaf
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense)], "vec_id long, embedding array<double>")
+    assert {r.group_id for r in embed_dedup.near_duplicates(table, leaf=32, cell=200).collect()} == {0}
+
+
+def test_pairs_in_doubt_are_verified(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(300, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(300, 32))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = np.where(np.arange(300) % 2, 0.9502, 0.9498)[:, None]
+    x = np.concatenate((a, cosine * a + np.sqrt(1 - cosine**2) * b))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, leaf=1000).collect()}
+    assert all(got[300 + i] == (i if i % 2 else 300 + i) for i in range(300))
+
+
+def test_components_keep_self_edges(spark):
+    edges = spark.createDataFrame([(1, 1), (2, 3), (3, 3), (None, 4), (5, 5), (3, 7)], "a long, b long")
+    assert {(r.node, r.root) for r in components(edges, shared_dir(spark)).collect()} == {(1, 1), (2, 2), (3, 2), (5, 5), (7, 2)}
