@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 16 << 20
 
 #: Name and SQL of each rule, over the text ``t``; a document is rejected if any is true. The names in
 #: braces are the counts below, which Spark and DuckDB work out each in its own way.
@@ -26,17 +27,17 @@ RULES: dict[str, str] = {
     "repeated_lines": "{lines} > 5 and {distinct_lines} < 0.5 * {lines}",
     "repeated_words": "{words} > 20 and {same_words} > 0.25 * {words}",
 }
+#: Words and lines are counted once for all rules, by ``counted``; the rest inside the rule that asks for it.
 _SPARK = {
-    "words": "c.w",
-    "lines": "c.l",
+    "words": "__words",
+    "lines": "__lines",
     "symbols": "regexp_count(t, '[#*&%$]')",
     "capitals": "regexp_count(t, '[A-Z]')",
     "letters": r"(t rlike '\\p{L}')",
     "distinct_lines": "size(array_distinct(split(t, '\n', -1)))",
-    "same_words": "transform(array(split(t, '[ \n]', -1)), v -> size(filter(v, (y, i) -> y <> '' and y = get(v, i + 1))))[0]",
+    # words followed by themselves; each is tried once, without going back
+    "same_words": r"regexp_count(t, '(?<![^ \n])([^ \n]++)(?=[ \n]\\1(?![^ \n]))')",
 }
-#: Words and lines are counted once for all rules, and bound to ``c``.
-_BIND = "transform(array(named_struct('w', size(split(t, ' ', -1)) + size(split(t, '\n', -1)) - 1, 'l', size(split(t, '\n', -1)))), c -> {body})[0]"
 _DUCKDB = {
     "words": "(length(t) - length(replace(t, ' ', '')) + length(t) - length(replace(t, '\n', '')) + 1)",
     "lines": "(length(t) - length(replace(t, '\n', '')) + 1)",
@@ -48,19 +49,27 @@ _DUCKDB = {
 }
 
 
-def _bound(body: str) -> Column:
-    return F.expr(_BIND.format(body=body).replace("\n", "\\n"))
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows with the text ``t`` and, beside it, its numbers of words and lines, by built-in functions that compile."""
+    gone = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c)))
+    lines = rows.withColumn("__lines", gone("\n") + 1)
+    return lines.withColumn("__words", gone(" ") + F.col("__lines"))
+
+
+def _sql(body: str) -> Column:
+    return F.expr(body.replace("\n", "\\n"))
 
 
 def rule_columns(rules: dict[str, str] | None = None) -> dict[str, Column]:
-    """Each rule as a column over the text ``t``; never null."""
-    return {name: _bound(sql.format(**_SPARK)) for name, sql in (rules or RULES).items()}
+    """Each rule as a column over ``counted`` texts; never null."""
+    return {name: _sql(sql.format(**_SPARK)) for name, sql in (rules or RULES).items()}
 
 
 def order_rules(docs: DataFrame, work: str, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """The rules' names by rejections gained per cost, as measured on at most about ``sample_rows`` rows.
 
-    A rule's cost is the time of a second run over the sample, less that of a rule that does nothing. Rules
+    A rule's cost is its time over the sample, which is repeated until it holds about SAMPLE_BYTES, so that the time is well above
+    that of starting a job; less the time of a rule that does nothing. Rules
     are taken greedily: each next one rejects the most, per cost, of what those before it leave.
     """
     columns = rule_columns(rules)
@@ -69,17 +78,20 @@ def order_rules(docs: DataFrame, work: str, rules: dict[str, str] | None = None,
         return list(columns)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")
     sample = written(docs.select(text).sample(False, min(1.0, sample_rows / total), 7).limit(2 * sample_rows), f"{work}/sample").coalesce(1)
+    size = sample.agg(F.sum(F.octet_length("t"))).first()[0] or 1
+    times = F.sequence(F.lit(1), F.lit(int(max(1, min(100, SAMPLE_BYTES // size)))))
+    many = counted(sample.select("t", F.explode(times).alias("turn")))
 
     def cost(column: Column) -> float:
-        taken = []
-        for _ in range(2):
-            began = time.perf_counter()
-            sample.agg(F.sum(column.cast("int"))).collect()
-            taken.append(time.perf_counter() - began)
-        return min(taken)
-
-    idle = cost(F.length("t") < 0)
-    costs = {name: max(cost(column) - idle, 1e-4) for name, column in columns.items()}
+        began = time.perf_counter()
+        many.agg(F.sum(column.cast("int"))).collect()
+        return time.perf_counter() - began
+
+    nothing = F.col("__words") < 0
+    cost(nothing)
+    idle = min(cost(nothing), cost(nothing))
+    costs = {name: max(cost(column) - idle, 1e-3) for name, column in columns.items()}
+    sample = counted(sample)
     mask = sum((F.shiftleft(column.cast("bigint"), k) for k, column in enumerate(columns.values())), F.lit(0).cast("bigint"))
     left = [(r["m"], r["count"]) for r in sample.groupBy(mask.alias("m")).count().collect()]
     names, order = list(columns), []
@@ -92,12 +104,12 @@ def order_rules(docs: DataFrame, work: str, rules: dict[str, str] | None = None,
 
 
 def cascade(rules: dict[str, str] | None, order: list[str]) -> Column:
-    """The first rule, in the order given, that rejects the text ``t``; null if none does.
+    """The first rule, in the order given, that rejects a text of ``counted``; null if none does.
 
     A CASE stops at the first branch that holds, so later rules aren't evaluated on a rejected row.
     """
     rules = rules or RULES
-    return _bound("case " + " ".join(f"when {rules[name].format(**_SPARK)} then '{name}'" for name in order) + " end")
+    return _sql("case " + " ".join(f"when {rules[name].format(**_SPARK)} then '{name}'" for name in order) + " end")
 
 
 def judge(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -108,7 +120,7 @@ def judge(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int
     """
     order = order_rules(docs, shared_dir(docs.sparkSession), rules, sample_rows)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    return rows.select("doc_id", cascade(rules, order).isNull().alias("is_kept"))
+    return counted(rows).select("doc_id", cascade(rules, order).isNull().alias("is_kept"))
 
 
 def keep_good(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -116,7 +128,7 @@ def keep_good(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows:
     order = order_rules(docs, shared_dir(docs.sparkSession), rules, sample_rows)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*columns).alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    return named.where(cascade(rules, order).isNull()).select("__row.*")
+    return counted(named).where(cascade(rules, order).isNull()).select("__row.*")
 
 
 def duckdb_sql(table: str = "documents") -> str:

@@ -45,7 +45,8 @@ def test_rules_match_duckdb(spark, odd):
 
 def test_any_order_gives_the_same(spark):
     rng = random.Random(2)
-    docs = spark.createDataFrame([(t,) for t in [*junk(rng), *(sentence(rng, 30) for _ in range(5))]], "t string")
+    docs = spark.createDataFrame([(t,) for t in [*junk(rng), *(sentence(rng, 30) for _ in range(5)), "aa aa aaa aaa\naaa  a a", "b " * 40, "c\nc\n" * 30]], "t string")
+    docs = quality_rules.counted(docs)
     names = list(quality_rules.RULES)
     ways = [[r[0] for r in docs.select(quality_rules.cascade(None, order).isNull()).collect()] for order in (names, names[::-1])]
     assert ways[0] == ways[1]
