@@ -96,6 +96,8 @@ class Vocabulary:
                     ranks[int(rank)] = base64.b64decode(token)
         if sorted(ranks) != list(range(len(ranks))):
             raise ValueError("the ranks must run from 0 without gaps")
+        if len(ranks) > 1 << 20:
+            raise ValueError("the table of pairs takes vocabularies of at most 1,048,576 tokens")
         return cls([ranks[i] for i in range(len(ranks))])
 
 
@@ -143,10 +145,11 @@ class Encoder:
 
     Blocks of distinct pre-tokens are encoded together: the automaton's trie is walked from all places at once, which
     gives every place its longest token and all shorter ones, and the backtracking search takes one
-    step in all pre-tokens at a time. Pre-tokens over ``WIDEST`` bytes run through the Aho-Corasick automaton one by one.
+    step in all pre-tokens at a time, of whatever length. The last ``FEW``, which are the longest, go on one by one.
     """
 
     WIDEST = 64
+    FEW = 8
 
     def __init__(self, vocabulary: Vocabulary):
         self.tokens = vocabulary.tokens
@@ -260,6 +263,11 @@ class Encoder:
         longest = [-1] * (n + 1)
         for end, token in self._matches(piece):
             longest[end + 1 - size[token]] = token  # ends ascend, so the longest comes last
+        return self._search(longest, n)
+
+    def _search(self, longest: list[int], n: int) -> list[int]:
+        """The backtracking search over a pre-token of n bytes, given the longest token at each place."""
+        size = self.size
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0]
@@ -287,22 +295,19 @@ class Encoder:
             raise ValueError("the vocabulary lacks a byte of the text")
         counts = np.ones(len(lengths), np.int64)
         many = np.flatnonzero(self.sizes[first] < lengths)
-        wide = lengths[many] > self.WIDEST
-        singly = {int(m): self.encode(data[bounds[m] : bounds[m + 1]].tobytes()) for m in many[wide]}
-        many = many[~wide]
         at, stop, token = bounds[many].astype(np.int64), bounds[many + 1], first[many]
-        depth = np.zeros(len(many), np.int64)
-        stack = np.zeros((len(many), min(self.WIDEST, int(lengths[many].max()) if len(many) else 1)), np.int32)
+        base, depth = at.copy(), np.zeros(len(many), np.int64)
+        stack = np.zeros(len(data) + 1, np.int32)  # a pre-token has no more tokens than bytes
         dead = np.zeros(len(data) + 1, bool)
         live = np.arange(len(many))
-        while len(live):
+        while len(live) > self.FEW:
             t, d, p = token[live], depth[live], at[live]
             end = p + self.sizes[t]
             good = ~dead[end] | (end == stop[live])
             check = np.flatnonzero(good & (d > 0))
-            good[check] = self.all_compatible(stack[live[check], d[check] - 1], t[check])
+            good[check] = self.all_compatible(stack[base[live[check]] + d[check] - 1], t[check])
             go = live[good]
-            stack[go, d[good]] = t[good]
+            stack[base[go] + d[good]] = t[good]
             depth[go] += 1
             at[go] = end[good]
             done = end[good] == stop[go]
@@ -317,20 +322,21 @@ class Encoder:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at[back]] = True
                 depth[back] -= 1
-                token[back] = stack[back, depth[back]]
+                token[back] = stack[base[back] + depth[back]]
                 at[back] -= self.sizes[token[back]]
             live = np.concatenate((onward, bad))
+        for k in live:
+            a, b = int(bounds[many[k]]), int(bounds[many[k] + 1])
+            found = self._search([*longest[a:b].tolist(), -1], b - a)
+            stack[a : a + len(found)] = found
+            depth[k] = len(found)
         counts[many] = depth
-        for m, tokens in singly.items():
-            counts[m] = len(tokens)
         starts = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)
         one = np.ones(len(lengths), bool)
         one[many] = False
         out[starts[one]] = first[one]
-        for m, tokens in singly.items():
-            out[starts[m] : starts[m] + len(tokens)] = tokens
-        out[_runs(starts[many], depth)] = stack[np.arange(stack.shape[1]) < depth[:, None]]
+        out[_runs(starts[many], depth)] = stack[_runs(base, depth)]
         return out, counts
 
     def prefix_counts(self, piece: bytes) -> list[int]:
