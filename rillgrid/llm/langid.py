@@ -17,6 +17,7 @@ SAMPLE_PER_LANGUAGE = 1500
 EVIDENCE = 200.0
 STRENGTH = 20.0
 MIN_CONFIDENCE = 0.5
+TABLE_FLOATS = 1 << 26  # 256 MB
 UNKNOWN = "und"
 UNSEEN = 0.1  # share of every language's trigrams that is spread evenly, as all of the background's are
 BACKGROUND = 0.01  # prior of a text in no learnt language
@@ -79,12 +80,15 @@ def fit(docs: DataFrame, declared: str = "lang", id_column: str = "doc_id", per_
     """Languages and log(p(hashed trigram | language) / p(hashed trigram | background)), from texts whose declared language is the label.
 
     The fit reads at most about ``per_language`` labelled rows of each language, chosen by a hash
-    of their id, and all rows of a language that has fewer. Every declared language is learnt. The background, for texts in no
-    learnt language, has all hashed trigrams alike.
+    of their id and text (so null and repeated ids are drawn like others), and all rows of a language that has fewer. Every declared language is learnt. The background, for texts in no
+    learnt language, has all hashed trigrams alike. The table goes to every executor, so ``bits`` is lowered where it would
+    exceed TABLE_FLOATS: more languages then share a coarser hash, and none is left out.
     """
-    rows = docs.select(primary_subtag(F.col(declared)).alias("tag"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_column)), F.lit(1_000_000)).alias("h")).where("tag is not null")
+    rows = docs.select(primary_subtag(F.col(declared)).alias("tag"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.col("text").cast("string")), F.lit(1_000_000)).alias("h")).where("tag is not null")
     counts = rows.groupBy("tag").count().collect()
     languages = sorted(r["tag"] for r in counts)
+    while bits > 8 and len(languages) << bits > TABLE_FLOATS:
+        bits -= 1
     if not languages:
         return [], np.zeros((1 << bits, 0), np.float32)
     shares = docs.sparkSession.createDataFrame([(r["tag"], int(min(1.0, per_language / r["count"]) * 1_000_000)) for r in counts], "tag string, share int")
@@ -202,7 +206,7 @@ def train(docs: DataFrame, work: str, declared: str = "lang", host: str = "sourc
 
 def _judged(docs: DataFrame, model: LanguageModel, declared: str, host: str, min_confidence: float, accepted, keep: list[str], filter_rows: bool) -> DataFrame:
     spark = docs.sparkSession
-    renamed = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("__text"), *_evidence(docs, declared, host))
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("__text"), *_evidence(docs, declared, host))
     # the table of priors is small or large as the corpus has few or many hosts; its true size decides how it is joined
     joined = renamed.join(model.hosts, "__host", "left").drop("__host", "__suffix")
     light = LanguageModel(model.languages, model.table, model.declared, None, model.evidence)
@@ -248,7 +252,7 @@ def identify(docs: DataFrame, id_column: str = "doc_id", declared: str = "lang",
     """
     model = train(docs, shared_dir(docs.sparkSession), declared, host, id_column, **training)
     if model is None:
-        return docs.select(id_column, F.lit(UNKNOWN).alias("predicted"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_kept"))
+        return docs.select(F.col(f"`{id_column}`"), F.lit(UNKNOWN).alias("predicted"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_kept"))
     return _judged(docs, model, declared, host, min_confidence, accepted, [id_column], False)
 
 
