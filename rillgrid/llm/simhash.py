@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, shared_dir, written
+from .common import components, integer, remove, shared_dir, written
 
 BITS = 128
 RADIUS = 22
@@ -18,6 +18,7 @@ TABLES = 32
 SAMPLED = 16
 CAP = 512
 MORE_BITS, MORE_TABLES, LEVELS = 4, 3, 3
+BLOCK = 4096  # rows of a bucket searched exactly in one piece
 
 
 def fingerprints(column, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +125,12 @@ def _exact(f0: np.ndarray, f1: np.ndarray, radius: int) -> tuple[np.ndarray, np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: int, levels: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: int, levels: int, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Edges of buckets up to the cap; rows of larger buckets, with additional bits in their keys.
 
-    The rows come sorted by key. Kinds: 0 an edge (node, other); 1 a row to be put into buckets again.
+    The rows come sorted by key. Kinds: 0 an edge (node, other); 1 a row to be put into buckets again. A bucket that is still too
+    large after the last cut is searched exactly: at once up to ``block`` rows, else in pairs of blocks, each a
+    bucket of the level beyond, where ``other`` says which of the two blocks a row is of.
     """
 
     def edges(a, b):
@@ -136,11 +139,37 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: in
         n = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
 
-    def buckets(key, node, f0, f1):
+    def blocks(key, node, side, f0, f1):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for s, e in zip(start, np.append(start[1:], len(key))):
+            left, right = (np.flatnonzero(side[s:e] == k) + s for k in (0, 1))
+            if len(right):
+                found = [(at, right[np.bitwise_count(f0[right] ^ f0[at]).astype(np.int16) + np.bitwise_count(f1[right] ^ f1[at]) <= radius]) for at in left]
+                a, b = np.concatenate([np.full(len(t), at) for at, t in found]), np.concatenate([t for _, t in found])
+            else:
+                a, b = _exact(f0[left], f1[left], radius)
+                a, b = left[a], left[b]
+            if len(a):
+                yield edges(node[a], node[b])
+
+    def buckets(key, node, other, f0, f1):
+        if level > levels:
+            yield from blocks(key, node, other, f0, f1)
+            return
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         for s, z in zip(start[size > cap], size[size > cap]):
             cut = slice(s, s + z)
+            if level >= levels and z > block:
+                part = np.arange(z) // block
+                n = int(part[-1]) + 1
+                for i in range(n):
+                    for j in range(i, n):
+                        own = np.flatnonzero((part == i) | (part == j)) + s
+                        pair = K.mix(K.mix(key[own].view(np.uint64) ^ np.uint64(i + 1)) ^ np.uint64(j + 1))
+                        side = ((own - s) // block != i).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), np.int32)), pa.array(pair.view(np.int64)), pa.array(node[own]), pa.array(side), pa.array(f0[own].view(np.int64)), pa.array(f1[own].view(np.int64))], names=names)
+                continue
             if level >= levels:
                 a, b = _exact(f0[cut], f1[cut], radius)
                 yield edges(node[cut][a], node[cut][b])
@@ -148,7 +177,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: in
             for m in range(MORE_TABLES):
                 bits = _extract(f0[cut], f1[cut], _sample(50_000 + 100 * level + m, MORE_BITS))
                 again = K.mix(K.mix(key[cut].view(np.uint64) ^ np.uint64(m + 1)) ^ bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(z, np.int32)), pa.array(again.view(np.int64)), pa.array(node[cut]), pa.nulls(z, pa.int64()), pa.array(f0[cut].view(np.int64)), pa.array(f1[cut].view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(z, np.int32)), pa.array(again.view(np.int64)), pa.array(node[cut]), pa.array(np.zeros(z, np.int64)), pa.array(f0[cut].view(np.int64)), pa.array(f1[cut].view(np.int64))], names=names)
         rest = np.repeat(np.where(size > cap, 1, size), size)
         end = np.repeat(start + size, size)
         at = np.flatnonzero(rest > 1)
@@ -169,8 +198,8 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: in
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, f0, f1 = (batch.column(c).to_numpy() for c in ("key", "node", "f0", "f1"))
-        cols = (key, node, f0.view(np.uint64), f1.view(np.uint64))
+        key, node, other, f0, f1 = (batch.column(c).to_numpy() for c in ("key", "node", "other", "f0", "f1"))
+        cols = (key, node, other, f0.view(np.uint64), f1.view(np.uint64))
         tail = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on in the next batch
         if tail == 0 and held and held[-1][0][-1] == key[0]:
             held.append(cols)
@@ -182,34 +211,36 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, cap: int, level: in
         yield from buckets(*(np.concatenate(c) for c in zip(*held)))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """``(doc_id, group_id, is_kept)``: one row per document with an id, group_id the least id of its group.
 
     A group is a connected component of the relation "SimHashes at most ``radius`` of 128 bits
     apart", over documents of equal SimHash taken as one. Candidates share the ``sampled``
     coordinates of one of the ``tables``; a bucket of more than ``cap`` distinct SimHashes is cut by
     additional coordinates, in several ways at once, and what is still too large after three
-    cuts is searched exactly. Every candidate's distance is verified.
+    cuts is searched exactly, in blocks that go to tasks of their own. Every candidate's distance is verified. Two near
+    duplicates that meet only in oversized buckets are lost if their hashes differ in each of the cuts.
 
     Null text counts as empty. Texts without words group with exact copies only. Rows with a
     null doc_id can't be named in a group; they are left out here and kept by ``drop_duplicates``.
-    A repeated doc_id is one document here; its texts' groups are joined. Empty input gives no rows.
+    A repeated doc_id is one document here; its texts' groups are joined. Ids are integers; a value that is none counts as null.
+    Empty input gives no rows.
     Extra columns are ignored.
     """
     spark = docs.sparkSession
     work = shared_dir(spark)
-    prints = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    prints = docs.select(integer("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     prints = written(prints.mapInArrow(_fingerprint_batches, "doc_id bigint, f0 bigint, f1 bigint"), f"{work}/prints")
     nodes = written(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node")), f"{work}/nodes")
-    rows = nodes.select("node", "f0", "f1").mapInArrow(lambda it: _keys(it, tables, sampled), "key bigint, node bigint, f0 bigint, f1 bigint")
+    rows = nodes.select("node", "f0", "f1").mapInArrow(lambda it: _keys(it, tables, sampled), "key bigint, node bigint, f0 bigint, f1 bigint").select("key", "node", F.lit(0).cast("bigint").alias("other"), "f0", "f1")
     found = None
-    for level in range(LEVELS + 1):
+    for level in range(LEVELS + 2):
         sorted_rows = rows.repartition("key").sortWithinPartitions("key")
-        compared = sorted_rows.mapInArrow(lambda it, level=level: _compare(it, radius, cap, level, LEVELS), "kind int, key bigint, node bigint, other bigint, f0 bigint, f1 bigint")
+        compared = sorted_rows.mapInArrow(lambda it, level=level: _compare(it, radius, cap, level, LEVELS, block), "kind int, key bigint, node bigint, other bigint, f0 bigint, f1 bigint")
         compared = written(compared, f"{work}/level{level}")
         edges = compared.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
         found = edges if found is None else found.unionByName(edges)
-        rows = compared.where("kind = 1").select("key", "node", "f0", "f1")
+        rows = compared.where("kind = 1").select("key", "node", "other", "f0", "f1")
         if rows.isEmpty():
             break
     # a doc_id that stands for several texts joins their nodes
@@ -226,19 +257,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
 def drop_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with one of each group left: the row of least doc_id, all columns as they were.
 
-    Rows with a null doc_id stay. Of several rows with the kept doc_id, one stays (the first by text).
+    Rows with a null doc_id, or one that is no integer, stay. Of several rows with the kept doc_id, one stays (the first by text).
     """
     work = shared_dir(docs.sparkSession)
     groups = near_duplicates(docs, **parameters)
     gone = written(groups.where("not is_kept").select(F.col("doc_id").alias("__gone")), f"{work}/gone")
-    left = docs.join(gone, F.col("doc_id").cast("bigint") == gone["__gone"], "left_anti")
+    left = docs.join(gone, integer("doc_id") == gone["__gone"], "left_anti")
     # only ids that stand in several rows need a choice, so only their rows are shuffled
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("__twice")).where("__twice is not null")
+    ids = docs.select(integer("doc_id").alias("__twice")).where("__twice is not null")
     twice = written(ids.groupBy("__twice").count().where("count > 1").select("__twice"), f"{work}/twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id").cast("bigint") == twice["__twice"], "left_anti")
-    many = left.join(twice, F.col("doc_id").cast("bigint") == twice["__twice"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    many = many.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
-    return once.unionByName(many)
+    once = left.join(twice, integer("doc_id") == twice["__twice"], "left_anti")
+    many = left.join(twice, integer("doc_id") == twice["__twice"], "left_semi")
+    many = many.select(integer("doc_id").alias("id"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    many = many.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("place = 1")
+    return once.unionByName(many.select("row.*"))
