@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir, written
+from .common import integer, shared_dir, written
 
 CAPACITY = 2048
 DOCUMENTS_PER_SHARD = 20_000
@@ -57,15 +57,16 @@ class Packer:
 def pack(lengths: DataFrame, capacity: int = CAPACITY, documents_per_shard: int = DOCUMENTS_PER_SHARD) -> DataFrame:
     """Places ``(doc_id, n_tokens)``: ``(doc_id, piece, start, n_tokens, window_id, window_offset)``.
 
-    Documents are dealt to shards by a hash of their id, and each shard is packed by itself in the order of
+    Documents are dealt to shards by a hash of their id and length, and each shard is packed by itself in the order of
     id and length, so shards grow in number with the table and not in size. A document over the capacity fills
     windows of its own; its rest is placed like any other. ``start`` is the piece's first token in its document.
     A document without tokens (null and empty texts) has one row, with null window. Null ids come
-    first and share a shard; repeated ids are placed each by itself. Null lengths count as 0.
+    first in their shard; repeated ids are placed each by itself. Ids are integers; a value that is none counts as null. Null lengths
+    count as 0.
     """
-    lengths = lengths.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"))
+    lengths = lengths.select(integer("doc_id").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"))
     shards = max(1, -(-lengths.count() // documents_per_shard))
-    rows = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    rows = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
     names = ["doc_id", "piece", "start", "n_tokens", "window_id", "window_offset"]
 
