@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import shared_dir, written
+from .common import integer, shared_dir, written
 
 BITS = 12
 DIMENSIONS = 64
@@ -61,7 +62,8 @@ class Voter:
         """Scores of rows of term counts: the labels of the nearest, weighted by a power of their cosine.
 
         The cosines to every labelled vector are computed, in blocks. A labelled document has no vote on itself.
-        Where no neighbour has a positive cosine the score is the labels' mean.
+        Where no neighbour has a positive cosine the score is the labels' mean. Vectors as near as the last of the nearest share the
+        places that are left, so that ties don't depend on any order.
         """
         latent = self._latent(term_weights(counts, self.rarity))
         cosine = latent @ self.vectors.T
@@ -70,10 +72,14 @@ class Voter:
         for row in np.flatnonzero(hi > lo):
             cosine[row, order[lo[row] : hi[row]]] = -1
         k = min(neighbours, cosine.shape[1])
-        near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
-        total = weight.sum(1)
-        return np.where(total > 1e-9, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-9), self.prior)
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+        row, near = np.nonzero(cosine >= last)
+        tied = cosine[row, near] == last[row, 0]
+        ties = np.bincount(row, tied, len(cosine))
+        places = (k - (np.bincount(row, minlength=len(cosine)) - ties)) / ties
+        weight = np.maximum(cosine[row, near], 0).astype(np.float64) ** SHARPNESS * np.where(tied, places[row], 1)
+        total = np.bincount(row, weight, len(cosine))
+        return np.where(total > 1e-9, np.bincount(row, weight * self.labels[near], len(cosine)) / np.maximum(total, 1e-9), self.prior)
 
 
 def _ids(column) -> np.ndarray:
@@ -83,7 +89,7 @@ def _ids(column) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = LABELLED_ROWS, bits: int = BITS, dimensions: int = DIMENSIONS) -> Voter | None:
     """Fits the vectors on at most about ``labelled_rows`` labelled rows, chosen by a hash of their id."""
     work = shared_dir(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("double").alias("label")).where("id is not null and label is not null")
+    known = labels.select(integer("doc_id").alias("id"), F.col(label).cast("double").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.avg("label").alias("label"))
     share = int(min(1.0, labelled_rows / max(1, known.count())) * 1_000_000)
     chosen = written(known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share), f"{work}/labels")
@@ -93,15 +99,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_r
             data, offsets = K.text_buffer(batch.column("text"))
             rows = []
             for i, j in K.spans(offsets, 1 << 18):
-                rows += [r.tobytes() for r in np.minimum(K.histograms(data, offsets, i, j, bits), 60_000).astype(np.uint16)]
+                rows += [zlib.compress(r.tobytes(), 1) for r in K.histograms(data, offsets, i, j, bits).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "counts"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
+    texts = docs.select(integer("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
     rows = texts.select("id", "label", "text").mapInArrow(count, "id bigint, label double, counts binary").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("counts", "ascending")])
     if rows.num_rows < 2:
         return None
-    counts = np.stack([np.frombuffer(c, np.uint16) for c in rows["counts"].to_pylist()])
+    counts = np.stack([np.frombuffer(zlib.decompress(c), np.float32) for c in rows["counts"].to_pylist()])
     return Voter.fit(rows["id"].to_numpy(), counts, rows["label"].to_numpy(), dimensions)
 
 
@@ -113,7 +119,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     vectors, from exact cosines; is_kept is score >= ``threshold``. The labelled rows are the only bounded sample.
 
     A text under three bytes, null or empty, has no vector: its score is the labels' mean. Null ids are scored, too;
-    repeated ids each by itself. Labels with null parts are left out, several labels of an id are
+    repeated ids each by itself, and ids that are no integers as if null. Labels with null parts are left out, several labels of an id are
     averaged. With fewer than two labelled documents every score is null and every row kept. Extra columns are ignored.
     """
     voter = train(docs, labels, label, labelled_rows, bits, dimensions)
@@ -124,7 +130,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("text"))
-            ids = _ids(batch.column("doc_id"))
+            ids = _ids(batch.column("id"))
             out = np.zeros(batch.num_rows)
             for i, j in K.spans(offsets, 1 << 20):
                 for a in range(i, j, ROWS):
@@ -134,4 +140,4 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(out >= threshold)], names=["doc_id", "quality_score", "is_kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, quality_score double, is_kept boolean")
+    return docs.select("doc_id", integer("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, quality_score double, is_kept boolean")
