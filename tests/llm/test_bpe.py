@@ -133,3 +133,18 @@ def test_windows_hold_everything_once(spark, odd, odd_rows):
         assert at <= 128
     assert total / 128 / len(windows) > 0.93
     assert {r.doc_id for r in packing.pack_documents(odd).collect()} == {r[0] for r in odd_rows}
+
+
+def test_very_long_texts_and_other_ids(spark, very_long):
+    want = reference(bpe.VOCABULARY)
+    texts = {r.doc_id: r.text for r in very_long.collect()}
+    size = {i: len(want.encode_ordinary(t)) for i, t in texts.items() if i != 4}
+    encoded = {r.doc_id: r for r in bpe.encode(very_long).select("doc_id", "n_tokens", "is_lossless").collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.prefix_table(very_long).select("doc_id", "n_tokens").collect()}
+    packed = packing.pack_documents(very_long.selectExpr("concat('', doc_id) as doc_id", "text")).groupBy("doc_id").sum("n_tokens").collect()
+    for i, n in size.items():
+        assert encoded[i].n_tokens == counted[i] == n and encoded[i].is_lossless
+    assert encoded[4].is_lossless and encoded[4].n_tokens == counted[4]
+    assert {r.doc_id: r[1] for r in packed} == counted
+    some = spark.createDataFrame([("x", 5), (None, 7), ("3", 9)], "doc_id string, n_tokens int")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in packing.pack(some).collect()) == [(0, 5), (0, 7), (3, 9)]

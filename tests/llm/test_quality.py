@@ -122,12 +122,61 @@ def test_other_languages_are_unknown(spark):
     assert langid.keep_identified(both).where("doc_id >= 1000000000").count() == 0
 
 
-def test_every_declared_language_is_learnt(spark):
+def test_posteriors_match_brute_force(spark):
+    """Every sum of the model anew in NumPy, from trigram counts to confidence, for texts of three languages and five hosts."""
+    rng = random.Random(11)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)] for lang, letters in (("aa", "abcdefgh"), ("bb", "fghijklm"), ("cc", "klmnopqr"))}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(vocabulary))
+        text = " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.choice([1, 2, 5, 40])))
+        rows.append((i, text, rng.choice([lang, lang, lang, lang.upper() + "-X", None, rng.choice(list(vocabulary)), "1?"]), rng.choice([f"h{lang}.aa", f"h{lang}.zz", "Mixed.zz", "nodots", None])))
+    rows += [(500, None, "aa", "haa.aa"), (501, "123 4", "bb", None)]
+    bits, evidence, strength = 10, 30.0, 3.0
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), bits=bits, evidence=evidence, strength=strength, min_confidence=0.6).collect()}
+    languages = sorted(vocabulary)
+    tag = lambda t: t[:2].lower() if t and t[0].isalpha() else None
+    codes = lambda t: K.trigram_codes(np.frombuffer(t.encode(), np.uint8), bits) if t and len(t) > 2 else np.zeros(0, int)
+    table = np.full((1 << bits, 3), 0.1)
+    for _, text, lang, _ in rows:
+        if tag(lang):
+            np.add.at(table[:, languages.index(tag(lang))], codes(text), 1)
+    table = np.log((1 - langid.UNSEEN) * table / table.sum(0) * (1 << bits) + langid.UNSEEN)
+    letters = np.array([sum(c.isalpha() for c in t or "") for _, t, _, _ in rows])
+    text_logs = np.array([table[codes(t)].sum(0) for _, t, _, _ in rows]) / (1 + letters[:, None] / evidence)
+
+    def shares(logs, background):
+        p = np.exp(np.column_stack((logs, background)))
+        return (p / p.sum(1, keepdims=True))[:, :3]
+
+    first = shares(text_logs - np.log(3), np.full(len(rows), np.log(langid.BACKGROUND))) * (letters > 0)[:, None]
+    whole = (first.sum(0) + 1) / (first.sum() + 3)
+    seen = np.full((3, 3), 0.5)
+    for p, (_, _, lang, _) in zip(first, rows):
+        if tag(lang):
+            seen[languages.index(tag(lang))] += p
+    reliability = np.log(seen / seen.sum(0))
+    of = lambda key: {k: sum((p for p, r in zip(first, rows) if key(r) == k), np.zeros(3)) for k in {key(r) for r in rows}}
+    host, suffix = (lambda r: (r[3] or "").lower()), (lambda r: (r[3] or "").lower().rpartition(".")[2] if "." in (r[3] or "") else "")
+    suffixes = {k: (p + strength * whole) / (p.sum() + strength) for k, p in of(suffix).items()}
+    hosts = {k: (p + strength * suffixes[next(suffix(r) for r in rows if host(r) == k)]) / (p.sum() + strength) for k, p in of(host).items()}
+    logs = text_logs + np.log([hosts[host(r)] for r in rows]) + np.array([reliability[languages.index(tag(r[2]))] if tag(r[2]) else np.zeros(3) for r in rows])
+    want = shares(logs, np.log(langid.BACKGROUND) + np.array([-np.log(3) if tag(r[2]) else 0.0 for r in rows]))
+    for r, p, n in zip(rows, want, letters):
+        sure = n > 0 and p.max() >= 0.6 and p.max() >= 1 - p.sum()
+        assert got[r[0]].confidence == pytest.approx(p.max() if n else 0, abs=2e-4)
+        if abs(p.max() - 0.6) > 1e-3:
+            assert (got[r[0]].predicted, got[r[0]].is_kept) == ((languages[p.argmax()], True) if sure else ("und", False))
+    assert 20 < sum(r.predicted == "und" for r in got.values()) < 200 or len({r.predicted for r in got.values()}) == 4
+
+
+@pytest.mark.parametrize("n", [70, 300])
+def test_every_declared_language_is_learnt(spark, n):
     rng = random.Random(7)
     rows = []
-    for k in range(67):
+    for k in range(n):
         words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
-        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"{chr(97 + k // 26)}{chr(97 + k % 26)}", None) for i in range(3 if k == 66 else 5 + (k < 64))]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"{chr(97 + k // 26)}{chr(97 + k % 26)}", None) for i in range(3 if k % 5 == 4 else 6)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.predicted for r in langid.identify(table).collect()}
     assert all(got[i] == lang for i, _, lang, _ in rows)
@@ -165,6 +214,25 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.4
 
 
+def test_ties_share_their_places():
+    counts = np.zeros((4, 256), np.float32)
+    counts[0, 1] = 3
+    counts[1:, 2] = 5
+    voter = quality_knn.Voter.fit(np.arange(4), counts.copy(), np.array([1.0, 1.0, 0.0, 0.0]), 2)
+    new = np.zeros((1, 256), np.float32)
+    new[0, 2] = 2
+    for k in (1, 2, 3):  # whichever of the three equal vectors come first
+        assert voter.vote(new.copy(), np.array([9]), k)[0] == pytest.approx(1 / 3, abs=1e-5)
+
+
+def test_long_texts_and_ids_that_are_no_integers(spark, very_long):
+    labels = spark.createDataFrame([("1", 1), ("4", 0), ("x", 1)], "doc_id string, quality int")
+    got = {r.doc_id: r.quality_score for r in quality_knn.classify(very_long.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"))), labels).collect()}
+    assert got["2"] > 0.9 and got["1"] <= 0.5 <= got["4"]  # none votes on itself
+    assert {r.doc_id for r in langid.identify(very_long).where("is_kept").collect()} >= {1, 2, 5}
+    assert quality_rules.judge(very_long).count() == 5
+
+
 def test_quality_of_odd_rows(odd, nothing, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 1), (8, 1), (9, 0), (8, 0), (None, 1), (2, None)], "doc_id long, quality int")
     got = quality_knn.classify(odd, labels).collect()

@@ -42,11 +42,11 @@ def copies(seed=1, groups=60):
     return texts
 
 
-@pytest.mark.parametrize("cap", [512, 4])
-def test_matches_all_pairs(spark, cap):
+@pytest.mark.parametrize("cap, block", [(512, 4096), (4, 4096), (1, 2)])
+def test_matches_all_pairs(spark, cap, block):
     texts = copies()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs, cap=cap).collect()}
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs, cap=cap, block=block).collect()}
     want = brute_force(list(range(len(texts))), texts, simhash.RADIUS)
     linked = [i for i in want if want[i] != i]
     assert len(linked) > 20
@@ -76,6 +76,37 @@ def test_odd_rows(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_duplicates(nothing).count() == 0
 
 
+def test_large_buckets_are_searched_whole(spark):
+    """Hashes that agree in all but a few bits meet in every bucket, and in spite of all cuts."""
+    rng = np.random.default_rng(4)
+    f0 = np.full(60, 12345, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))
+    key = np.full(60, 7, np.int64)
+    cols = [key, np.arange(60), np.zeros(60, np.int64), f0.view(np.int64), np.zeros(60, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "other", "f0", "f1"])
+    out = pa.Table.from_batches(list(simhash._compare(iter([batch]), 2, 4, 3, 3, block=16)))
+    assert set(out["kind"].to_pylist()) == {1}
+    again = out.sort_by("key").combine_chunks().to_batches()[0].select(["key", "node", "other", "f0", "f1"])
+    found = pa.Table.from_batches(list(simhash._compare(iter([again]), 2, 4, 4, 3, block=16)))
+    root = list(range(60))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(found["node"].to_pylist(), found["other"].to_pylist()):
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert {top(i) for i in range(60)} == {0}
+
+
+def test_ids_that_are_no_integers_and_long_texts(spark, very_long):
+    words = spark.createDataFrame([("1", "one text of some words"), ("2", "one text of some words"), ("x", "one text of some words"), (None, "y")], "doc_id string, text string")
+    assert {(r.doc_id, r.group_id) for r in simhash.near_duplicates(words).collect()} == {(1, 1), (2, 1)}
+    assert sorted(str(r.doc_id) for r in simhash.drop_duplicates(words).collect()) == ["1", "None", "x"]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(very_long).collect()}
+    assert got[1] == got[2] == got[5] == 1 and got[3] == 3 and got[4] == 4
+
+
 def test_components_of_chains(spark):
     rng = random.Random(2)
     edges, want = [], {}
