@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import projection as P
 from ..functions import nodata as N
 from ..functions.expr import NAN
-from ..plans import doubling as D
+from ..plans import tiles
 from ..raster import Raster
 from . import cells as ops
 
@@ -63,6 +63,19 @@ def edges(flow: Raster, check: bool = False) -> DataFrame:
     return table.join(other, ["__r", "__c"], "left").select("id", "row", "col", "dir", "down", F.col("__r").alias("next_row"), F.col("__c").alias("next_col"))
 
 
+def steps(flow: Raster, check: bool = False) -> DataFrame:
+    """``(id, row, col, down)`` of all cells, by no join: ``down`` is the next cell's id, be it a node or not; cells without a direction have a null id."""
+    if check:
+        ops.require(flow, "flow")
+    nrows, ncols = flow.meta.shape
+    valid = N.data_mask("value", flow.meta.nodata) & F.col("value").between(1, 8)
+    table = flow.cells.select("row", "col", F.when(valid, F.col("value").cast("int")).alias("dir"))
+    dr, dc = (F.element_at(F.array(*(F.lit(STEPS[d][k]) for d in range(1, 9))), F.col("dir")) for k in (0, 1))
+    inside = (F.col("row") + dr).between(0, nrows - 1) & (F.col("col") + dc).between(0, ncols - 1)
+    own = cell_id(ncols)
+    return table.select(F.when(F.col("dir").isNotNull(), own).alias("id"), "row", "col", F.when(inside, own + dr * ncols + dc).alias("down"))
+
+
 def slopes(dem: Raster, flow: Raster, dem_per_m: float = 1.0, check: bool = False) -> Raster:
     """Drop over distance to the next cell, with heights in units of ``dem_per_m`` to a metre; NaN where either cell has no data."""
     flow = dem.validate(flow, "flow")
@@ -98,13 +111,13 @@ def relief(dem: Raster, flow: Raster, check: bool = False) -> Raster:
     table = table.join(fed, F.col("id") == F.col("__to"), "left").withColumn("ridge", F.col("__to").isNull()).drop("__to")
     under = table.where("ridge and down is not null").select(F.col("down").alias("__to")).distinct()
     table = table.join(under, F.col("id") == F.col("__to"), "left").withColumn("m", F.when(F.col("__to").isNotNull(), F.col("z")).otherwise(float("-inf"))).drop("__to")
-    found = D.upstream(table.select("id", "down", "row", "col", "z", "zd", "ridge", "m"), {"m": D.MAX})
+    found = tiles.upstream(table.select("id", "down", "row", "col", "z", "zd", "ridge", "m"), flow.meta.ncols, {"m": "max"})
     return _onto(flow, found.select("row", "col", F.when(F.col("ridge"), 0.0).otherwise(F.col("m") - F.coalesce("zd", "z")).alias("value")))
 
 
 def weighted(flow: Raster, weights: Raster | None, mask: Raster | None, omitnan: bool, check: bool) -> DataFrame:
-    """The flow's edges with a column ``w``: ones, or weights, where the mask is true and 0 elsewhere; NaN without data."""
-    table = edges(flow, check).select("id", "row", "col", "down")
+    """The flow's ``steps`` with a column ``w``: ones, or weights, where the mask is true and 0 elsewhere; NaN without data."""
+    table = steps(flow, check)
     if weights is None:
         table = table.withColumn("w", F.lit(1.0))
     else:
@@ -121,13 +134,15 @@ def accumulation(flow: Raster, weights: Raster | None = None, mask: Raster | Non
 
     A weight without data makes all that follows NaN, or counts 0 with ``omitnan``. Cells without a direction are NaN.
     """
-    found = D.upstream(weighted(flow, weights, mask, omitnan, check), {"w": D.SUM})
-    return _onto(flow, found.select("row", "col", (F.col("w") * times).alias("value")))
+    table = weighted(flow, weights, mask, omitnan, check)
+    found = tiles.upstream(table.where("id is not null"), flow.meta.ncols, {"w": "sum"}).select("row", "col", (F.col("w") * times).alias("value"))
+    rows = found.unionByName(table.where("id is null").select("row", "col", F.lit(NAN).alias("value")))
+    return Raster(rows, flow.meta.update(dtype="float64", nodata=NAN))
 
 
 def catchment(flow: Raster, row: int, col: int, check: bool = False) -> Raster:
     """The cells that drain to one, itself included."""
-    table = edges(flow, check).select("id", "row", "col", "down").withColumn("hit", (F.col("row") == row) & (F.col("col") == col))
-    found = D.downstream(table, {"hit": D.either}).select("row", "col", F.col("hit").alias("value"))
-    rows = flow.cells.select("row", "col").join(found, ["row", "col"], "left")
-    return Raster(rows.select("row", "col", F.coalesce("value", F.lit(False)).alias("value")), flow.meta.update(dtype="bool", nodata=False))
+    table = steps(flow, check).withColumn("hit", (F.col("row") == row) & (F.col("col") == col))
+    found = tiles.downstream(table.where("id is not null"), flow.meta.ncols, {"hit": "either"}).select("row", "col", F.col("hit").alias("value"))
+    rows = found.unionByName(table.where("id is null").select("row", "col", F.lit(False).alias("value")))
+    return Raster(rows, flow.meta.update(dtype="bool", nodata=False))

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .. import projection as P
 from ..errors import SelectionError
 from ..plans import doubling as D
-from ..plans import tables
+from ..plans import tables, tiles
 from ..raster import Meta, Raster
-from .flow import edges
+from .flow import edges, steps
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def build(flow: Raster, mask: Raster, max_length: float = math.inf, units: str =
     """Segments of the cells in a mask: cut where streams meet, and into equal parts no longer than ``max_length``.
 
     A cell begins a segment unless exactly one cell of the mask drains to it. Every other cell joins the segment of
-    that one cell, which path doubling finds for all cells at once.
+    that one cell, which is found for all cells at once, tile by tile.
     """
     spark = flow.cells.sparkSession
     work = tables.folder(spark)
@@ -61,7 +61,7 @@ def build(flow: Raster, mask: Raster, max_length: float = math.inf, units: str =
     nodes = tables.write(nodes, f"{work}/nodes")
     # up the stream: the single feeding cell is the next one "down" this path
     chain = nodes.select("id", F.when(F.col("n") == 1, F.col("up")).alias("down"), F.col("id").alias("head"), F.lit(1).alias("ord"))
-    placed = D.downstream(chain, {"head": D.last, "ord": lambda a, b: a + b})
+    placed = tiles.downstream(chain, flow.meta.ncols, {"head": "last", "ord": "sum"})
     pixels = placed.join(nodes, "id").select((F.col("head") + 1).alias("id"), (F.col("ord") - 1).alias("ord"), "row", "col", "next_row", "next_col")
     pixels = tables.write(pixels, f"{work}/pixels")
     if max_length != math.inf:
@@ -205,16 +205,16 @@ def stream_raster(network: Network) -> Raster:
 def cell_segments(network: Network) -> DataFrame:
     """``(row, col, id)``: every cell that drains to a segment's outlet, with the first outlet on its way."""
     ends = network.segments.select(F.col("end_row").alias("row"), F.col("end_col").alias("col"), F.col("id").alias("segment"))
-    table = edges(network.flow).select("id", "row", "col", "down").join(ends, ["row", "col"], "left")
-    found = D.downstream(table, {"segment": D.first})
+    table = steps(network.flow).where("id is not null").join(ends, ["row", "col"], "left")
+    found = tiles.downstream(table, network.meta.ncols, {"segment": "first"})
     return found.where("segment is not null").select("row", "col", F.col("segment").alias("id"))
 
 
 def basins(network: Network) -> DataFrame:
     """``(row, col, basin)``: every cell that drains to a terminal outlet, with the last one on its way."""
     ends = network.segments.where("child is null").select(F.col("end_row").alias("row"), F.col("end_col").alias("col"), F.col("id").alias("basin"))
-    table = edges(network.flow).select("id", "row", "col", "down").join(ends, ["row", "col"], "left")
-    return D.downstream(table, {"basin": D.last}).where("basin is not null").select("row", "col", "basin")
+    table = steps(network.flow).where("id is not null").join(ends, ["row", "col"], "left")
+    return tiles.downstream(table, network.meta.ncols, {"basin": "last"}).where("basin is not null").select("row", "col", "basin")
 
 
 def basin_raster(network: Network) -> Raster:

@@ -1,8 +1,8 @@
 """Statistics of rasters over segments and their catchments, and the variables of hazard models.
 
 Every cell is labelled once with the first segment outlet on its way. A catchment is then a segment's own
-cells and those of the segments above it, so statistics of catchments are one aggregation of cells to segments and one
-over the closure of the much smaller table of segments.
+cells and those of the segments above it, so statistics of catchments are one aggregation of cells to segments and partial
+sums up the forest of the much smaller table of segments. Medians need the cells themselves and the closure of the forest.
 """
 
 from __future__ import annotations
@@ -89,27 +89,29 @@ def _cells(network: Network, rasters: dict[str, Raster], mask: Raster | None) ->
     return table
 
 
-_PARTS = ("n", "nans", "s", "ss", "lo", "hi")
+_SUMS = {"nans": D.SUM, "s": D.SUM, "lo": D.MIN, "hi": D.MAX}
 
 
 def _partial(x: Column, alias: str) -> list[Column]:
+    """What a segment's own cells give: count, mean and squares, NaNs, sum and extremes. Null cells are no part of it."""
     data = F.when(~F.isnan(x), x)
-    found = (F.count(data), F.sum(F.isnan(x).cast("long")), F.sum(data), F.sum(data * data), F.min(data), F.max(data))
-    return [c.alias(f"{alias}_{p}") for c, p in zip(found, _PARTS)]
+    found = {"n": F.count(data), "mean": F.avg(data), "m2": F.var_pop(data) * F.count(data), "nans": F.sum(F.isnan(x).cast("long")), "s": F.sum(data), "lo": F.min(data), "hi": F.max(data)}
+    return [c.alias(f"{alias}_{p}") for p, c in found.items()]
 
 
-def _merged(alias: str) -> list[Column]:
-    how = {"n": F.sum, "nans": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
-    return [how[p](f"{alias}_{p}").alias(f"{alias}_{p}") for p in _PARTS]
+def _upstream(network: Network, by_segment: DataFrame, columns: list[str]) -> DataFrame:
+    """The parts of each segment and all segments above it, by path doubling over the table of segments."""
+    table = network.forest().join(by_segment, "id", "left")
+    for c in columns:
+        table = table.withColumns({f"{c}_{p}": F.coalesce(f"{c}_{p}", F.lit(0).cast("double" if p in ("m2", "s") else "long")) for p in ("n", "m2", "nans", "s")})
+    return D.upstream(table, {f"{c}_{p}": how for c in columns for p, how in _SUMS.items()}, tuple(columns))
 
 
 def _final(name: str, alias: str) -> Column:
-    n, nans, s, ss, lo, hi = (F.col(f"{alias}_{p}") for p in _PARTS)
-    mean = s / n
-    var = F.greatest(ss / n - mean * mean, F.lit(0.0))
+    n, m2, nans, s, lo, hi = (F.col(f"{alias}_{p}") for p in ("n", "m2", "nans", "s", "lo", "hi"))
     plain = name.removeprefix("nan")
-    out = {"min": lo, "max": hi, "mean": mean, "sum": s, "var": var, "std": F.sqrt(var)}[plain]
-    out = F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(NAN)).otherwise(out)
+    out = {"min": lo, "max": hi, "mean": s / n, "sum": s, "var": m2 / n, "std": F.sqrt(m2 / n)}[plain]
+    out = F.when(n == 0, F.lit(NAN)).otherwise(out)
     return out if name != plain else F.when(nans > 0, F.lit(NAN)).otherwise(out)
 
 
@@ -123,9 +125,7 @@ def catchment_summaries(network: Network, wanted: dict[str, tuple[str, Raster]],
         return reduce(lambda a, b: a.join(b, "id"), parts)
     table = _cells(network, {c: r for c, (_, r) in wanted.items()}, mask)
     by_segment = table.groupBy("id").agg(*(p for c in wanted for p in _partial(F.col(c), c)))
-    below = closure(network)
-    merged = below.join(by_segment, "id").groupBy(F.col("descendant").alias("id")).agg(*(m for c in wanted for m in _merged(c)))
-    out = network.segments.select("id").join(merged, "id", "left").select("id", *(_final(s, c).alias(c) for c, (s, _) in wanted.items()))
+    out = _upstream(network, by_segment, list(wanted)).select("id", *(_final(s, c).alias(c) for c, (s, _) in wanted.items()))
     return _scope(network, out, terminal)
 
 
@@ -145,9 +145,9 @@ def catchment_summary(network: Network, name: str, raster: Raster, mask: Raster
 
 def pixel_counts(network: Network, mask: Raster | None = None, terminal: bool = False) -> DataFrame:
     """``(id, value)``: number of cells in each catchment, within a mask."""
-    by_segment = _cells(network, {}, mask).groupBy("id").agg(F.count("*").alias("n"))
-    found = closure(network).join(by_segment, "id").groupBy(F.col("descendant").alias("id")).agg(F.sum("n").alias("value"))
-    return _scope(network, network.segments.select("id").join(found, "id", "left").select("id", F.coalesce("value", F.lit(0)).alias("value")), terminal)
+    by_segment = _cells(network, {}, mask).groupBy("id").agg(F.count("*").alias("value"))
+    table = network.forest().join(by_segment, "id", "left").withColumn("value", F.coalesce("value", F.lit(0).cast("bigint")))
+    return _scope(network, D.upstream(table, {"value": D.SUM}).select("id", "value"), terminal)
 
 
 def area(network: Network, mask: Raster | None = None, units: str = "kilometers", terminal: bool = False) -> DataFrame:
@@ -220,38 +220,57 @@ def ruggedness(network: Network, relief: Raster, relief_per_m: float = 1.0, term
     return at_outlets(network, relief, terminal).join(size, "id").select("id", (F.col("value") / relief_per_m / F.sqrt("a")).alias("value"))
 
 
+def _ones(mask: Raster) -> Raster:
+    """1 within a mask and 0 elsewhere, so that its mean over a catchment is the share within."""
+    return mask.as_bool().with_value(F.col("value").cast("double"), dtype="float64", nodata=NAN)
+
+
 def _steep(slopes: Raster, burned: Raster, degrees: float) -> Raster:
-    """Burned cells at least so steep; cells without a slope are not."""
+    """1 in burned cells at least so steep, 0 in others, those without a slope among them."""
     limit = math.tan(math.radians(degrees))
     burned = slopes.validate(burned, "burned").as_bool().cells.withColumnRenamed("value", "b")
     rows = slopes.as_nan("s").join(burned, ["row", "col"])
-    return Raster(rows.select("row", "col", (F.col("b") & ~F.isnan("s") & (F.col("s") >= limit)).alias("value")), slopes.meta.update(dtype="bool", nodata=False))
+    value = (F.col("b") & ~F.isnan("s") & (F.col("s") >= limit)).cast("double")
+    return Raster(rows.select("row", "col", value.alias("value")), slopes.meta.update(dtype="float64", nodata=NAN))
+
+
+def _within(raster: Raster, mask: Raster) -> Raster:
+    """The raster's cells within a mask; those outside are null, which no statistic counts."""
+    inside = raster.validate(mask, "mask").as_bool().cells.withColumnRenamed("value", "__in")
+    return Raster(raster.as_nan("v").join(inside, ["row", "col"]).select("row", "col", F.when(F.col("__in"), F.col("v")).alias("value")), raster.meta.update(dtype="float64", nodata=NAN))
 
 
-def _three(t: DataFrame, f: DataFrame, s: DataFrame) -> DataFrame:
-    named = [x.select("id", F.col("value").alias(c)) for x, c in ((t, "t"), (f, "f"), (s, "s"))]
-    return reduce(lambda a, b: a.join(b, "id"), named)
+def _means(network: Network, t: Raster, f: Raster, s: Raster, omitnan: str) -> DataFrame:
+    """``(id, t, f, s)``: means over catchments, in one pass; NaNs are left out of those that ``omitnan`` names."""
+    return catchment_summaries(network, {c: ("nanmean" if c in omitnan else "mean", r) for c, r in (("t", t), ("f", f), ("s", s))})
 
 
 def m1_variables(network: Network, moderate_high: Raster, slopes: Raster, dnbr: Raster, kf: Raster, omitnan: bool = False) -> DataFrame:
     """``(id, t, f, s)``: share burned and steeper than 23 degrees, scaled burn ratio, erodibility."""
-    return _three(catchment_ratio(network, _steep(slopes, moderate_high, 23)), scaled_dnbr(network, dnbr, omitnan=omitnan), kf_factor(network, kf, omitnan=omitnan))
+    found = _means(network, _steep(slopes, moderate_high, 23), dnbr, require(kf, "positive"), "fs" if omitnan else "")
+    return found.select("id", "t", (F.col("f") / 1000).alias("f"), "s")
 
 
 def m2_variables(network: Network, moderate_high: Raster, slopes: Raster, dnbr: Raster, kf: Raster, omitnan: bool = False) -> DataFrame:
     """``(id, t, f, s)``: mean sine of the slope where burned, scaled burn ratio, erodibility."""
     sines = Raster(slopes.as_nan("v").select("row", "col", F.sin(F.atan("v")).alias("value")), slopes.meta.update(dtype="float64", nodata=NAN))
-    return _three(_mean(network, sines, moderate_high, omitnan, False), scaled_dnbr(network, dnbr, omitnan=omitnan), kf_factor(network, kf, omitnan=omitnan))
+    found = _means(network, _within(sines, moderate_high), dnbr, require(kf, "positive"), "tfs" if omitnan else "")
+    return found.select("id", "t", (F.col("f") / 1000).alias("f"), "s")
 
 
 def m3_variables(network: Network, moderate_high: Raster, relief: Raster, thickness: Raster, relief_per_m: float = 1.0, omitnan: bool = False) -> DataFrame:
     """``(id, t, f, s)``: ruggedness, share burned, scaled soil thickness."""
-    return _three(ruggedness(network, relief, relief_per_m), burn_ratio(network, moderate_high), scaled_thickness(network, thickness, omitnan=omitnan))
+    ones = _ones(moderate_high)
+    found = catchment_summaries(network, {"t": ("sum", Raster(ones.cells.withColumn("value", F.lit(1.0)), ones.meta)), "f": ("mean", ones), "s": ("nanmean" if omitnan else "mean", require(thickness, "positive"))})
+    size = F.col("t") * network.meta.pixel_area("meters")
+    table = found.join(at_outlets(network, relief), "id")
+    return table.select("id", (F.col("value") / relief_per_m / F.sqrt(size)).alias("t"), "f", (F.col("s") / 100).alias("s"))
 
 
 def m4_variables(network: Network, isburned: Raster, slopes: Raster, dnbr: Raster, thickness: Raster, omitnan: bool = False) -> DataFrame:
     """``(id, t, f, s)``: share burned and steeper than 30 degrees, scaled burn ratio, scaled soil thickness."""
-    return _three(catchment_ratio(network, _steep(slopes, isburned, 30)), scaled_dnbr(network, dnbr, omitnan=omitnan), scaled_thickness(network, thickness, omitnan=omitnan))
+    found = _means(network, _steep(slopes, isburned, 30), dnbr, require(thickness, "positive"), "fs" if omitnan else "")
+    return found.select("id", "t", (F.col("f") / 1000).alias("f"), (F.col("s") / 100).alias("s"))
 
 
 #: Direction: the two half-windows across it, as steps of rows and columns.

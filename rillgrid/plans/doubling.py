@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CycleError
@@ -51,18 +51,37 @@ def downstream(forest: DataFrame, combine: dict[str, Combine]) -> DataFrame:
     return _run(forest, step)
 
 
-def upstream(forest: DataFrame, combine: dict[str, tuple[Callable[[Column], Column], Combine]]) -> DataFrame:
+def upstream(forest: DataFrame, combine: dict[str, tuple[Callable[[Column], Column], Combine]], moments: tuple[str, ...] = ()) -> DataFrame:
     """Each column folded over the node and all nodes whose paths lead to it.
 
-    ``combine[c]`` is an aggregate and the same operation on two columns: (F.sum, a + b) or (F.max, greatest).
+    ``combine[c]`` is an aggregate and the same operation on two columns: (F.sum, a + b) or (F.max, greatest). For each m of
+    ``moments`` the columns m_n, m_mean and m_m2 (count, mean, sum of squared distances from it) are merged by the formula
+    of Chan, Golub and LeVeque, which doesn't cancel.
     """
-    names = [c for c in forest.columns if c not in ("id", "down", *combine)]
+    parts = [f"{m}_{p}" for m in moments for p in ("n", "mean", "m2")]
+    names = [c for c in forest.columns if c not in ("id", "down", *combine, *parts)]
+
+    def merged(m: str) -> list[Column]:
+        n, mean, m2 = (F.col(f"{m}_{p}") for p in ("n", "mean", "m2"))
+        far_n, far_mean, far_m2 = (F.coalesce(F.col(f"__{m}_{p}"), F.lit(0)) for p in ("n", "mean", "m2"))
+        total, apart = n + far_n, F.col(f"__{m}_mean") - mean
+        middle = F.when(n == 0, F.col(f"__{m}_mean")).when(far_n == 0, mean).otherwise(mean + apart * far_n / total)
+        spread = m2 + far_m2 + F.when((n > 0) & (far_n > 0), apart * apart * n * far_n / total).otherwise(0.0)
+        return [total.alias(f"{m}_n"), middle.alias(f"{m}_mean"), spread.alias(f"{m}_m2")]
 
     def step(state: DataFrame) -> DataFrame:
-        sent = state.where("__jump is not null").groupBy(F.col("__jump").alias("__to")).agg(*(agg(c).alias(f"__{c}") for c, (agg, _) in combine.items()))
+        going, to = state.where("__jump is not null"), Window.partitionBy("__jump")
+        for m in moments:  # the mean of all that go to one node, to which their squares are then referred
+            going = going.withColumn(f"__{m}_all", F.sum(F.col(f"{m}_n") * F.col(f"{m}_mean")).over(to) / F.sum(f"{m}_n").over(to))
+        sums = [agg(c).alias(f"__{c}") for c, (agg, _) in combine.items()]
+        for m in moments:
+            apart = F.col(f"{m}_mean") - F.col(f"__{m}_all")
+            sums += [F.sum(f"{m}_n").alias(f"__{m}_n"), F.max(f"__{m}_all").alias(f"__{m}_mean"), F.sum(F.col(f"{m}_m2") + F.coalesce(F.col(f"{m}_n") * apart * apart, F.lit(0.0))).alias(f"__{m}_m2")]
+        sent = going.groupBy(F.col("__jump").alias("__to")).agg(*sums)
         far = state.select(F.col("id").alias("__at"), F.col("__jump").alias("__next"))
         joined = state.join(sent, state["id"] == sent["__to"], "left").join(far, state["__jump"] == far["__at"], "left")
         folded = [F.when(F.col("__to").isNotNull(), f(F.col(c), F.col(f"__{c}"))).otherwise(F.col(c)).alias(c) for c, (_, f) in combine.items()]
+        folded += [c for m in moments for c in merged(m)]
         return joined.select("id", *names, *folded, F.col("__next").alias("__jump"))
 
     return _run(forest, step)
@@ -70,6 +89,7 @@ def upstream(forest: DataFrame, combine: dict[str, tuple[Callable[[Column], Colu
 
 SUM = (F.sum, lambda a, b: a + b)
 MAX = (F.max, lambda a, b: F.greatest(a, b))
+MIN = (F.min, lambda a, b: F.least(a, b))
 
 
 def last(near: Column, far: Column) -> Column:

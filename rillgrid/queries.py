@@ -204,12 +204,14 @@ _add("catchment_mask", lambda s, d: _out(flow.catchment(_flow(s, d), 40, 32)), f
 _add("fill_pits", lambda s, d: _values(condition.fill_pits(grids.terrain(s, d))), f"{_G}, low as (select a.row, a.col, min(b.z) as low from dem a cross join dirs d join dem b on b.row = a.row + d.dr and b.col = a.col + d.dc group by 1, 2) select row, col, (case when row between 1 and (select max(row) - 1 from dem) and col between 1 and {WIDTH - 2} and z < low then low else z end)::double as value from dem join low using (row, col)")
 
 
-def _small(s, d):
-    return spatial.sliced(grids.terrain(s, d), slice(0, 24), slice(0, 24))
-
-
-_add("fill_depressions", lambda s, d: _values(condition.fill_depressions(_small(s, d))))
-_add("resolve_flats", lambda s, d: _values(condition.resolve_flats(condition.fill_depressions(_small(s, d)))))
+#: Every cell's level falls to its fixed point in as many rounds as a way to the border has cells, at most.
+_FILL_ROUNDS = 160
+_add(
+    "fill_depressions",
+    lambda s, d: _values(condition.fill_depressions(grids.terrain(s, d))),
+    f"{_G}, rim as (select row, col, z, row in (0, (select max(row) from dem)) or col in (0, {WIDTH - 1}) as out from dem), wet(k, row, col, z, w) as (select 0, row, col, z, case when out then z else 1000000 end from rim union all select wet.k + 1, wet.row, wet.col, any_value(wet.z), least(any_value(wet.w), greatest(any_value(wet.z), min(n.w))) from wet join dirs d on true join wet n on n.row = wet.row + d.dr and n.col = wet.col + d.dc where wet.k < {_FILL_ROUNDS} group by wet.k, wet.row, wet.col) select row, col, w::double as value from wet where k = {_FILL_ROUNDS}",
+)
+_add("resolve_flats", lambda s, d: _values(condition.resolve_flats(condition.fill_depressions(grids.terrain(s, d)))))
 
 # --- networks ------------------------------------------------------------------------------------
 STREAM = 10
@@ -278,6 +280,14 @@ def _stat(table, digits=EXACT):
     return table.select("id", _r(F.when(~F.isnan("value"), F.col("value")), digits).alias("value"))
 
 
+def _raised(s, d):
+    """The burn ratio a hundred million up, where squares have lost the difference."""
+    base = grids.burn(s, d)
+    return base.with_value(F.when(F.col("value") != -999, F.col("value") + 100_000_000.0).otherwise(-999.0), dtype="float64")
+
+
+for _name in ("var", "nanvar", "nanstd"):
+    _add(f"catchment_summary_{_name}_raised", lambda s, d, n=_name: _stat(summary.catchment_summary(_network(s, d), n, _raised(s, d)), 4 if n.endswith("std") else 2), f"{_NET} select s.id, {_stat_sql(_name).replace(', 4)', ', 2)') if _name.endswith('var') else _stat_sql(_name)} as value from seg s join (select up.id, {_VALUES} as v from up join edges e on up.anc = e.id join dnbr using (row, col)) c on c.id = s.end_cell group by s.id")
 for _name in summary.STATISTICS[1:]:
     _add(f"segment_summary_{_name}", lambda s, d, n=_name: _stat(summary.summary(_network(s, d), n, grids.burn(s, d)), 4 if n.endswith(("std", "var")) else EXACT), f"{_NET} select id, {_stat_sql(_name)} as value from (select id, {_VALUES} as v from pix join dnbr using (row, col)) group by id")
     _add(f"catchment_summary_{_name}", lambda s, d, n=_name: _stat(summary.catchment_summary(_network(s, d), n, grids.burn(s, d)), 4 if n.endswith(("std", "var")) else EXACT), f"{_NET} select s.id, {_stat_sql(_name)} as value from seg s join (select up.id, {_VALUES} as v from up join edges e on up.anc = e.id join dnbr using (row, col)) c on c.id = s.end_cell group by s.id")
