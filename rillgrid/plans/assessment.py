@@ -14,13 +14,14 @@ from . import grids, tables
 def assess(dem: Raster, dnbr: Raster, soil: Raster, *, stream_cells: float, i15: float, model: str = "M1", max_length: float = float("inf"), thresholds=(125, 250, 500)) -> DataFrame:
     """``(id, t, f, s, likelihood, volume, hazard, threshold)`` of every stream segment of a burned terrain.
 
-    Flow is that of the conditioned terrain, without pits, depressions and flats; slopes and relief are of the terrain as it is.
+    Flow, slopes and relief are those of the conditioned terrain, without pits, depressions and flats.
     ``i15`` is a storm's 15-minute intensity; ``threshold`` the intensity at which a debris flow is as likely as not.
     """
     spark = dem.cells.sparkSession
     work = tables.folder(spark)
     save = lambda r, n: Raster(tables.write(r.cells, f"{work}/{n}"), r.meta)
-    directions = save(flow.directions(save(condition.condition(dem), "conditioned")), "flow")
+    dem = save(condition.condition(dem), "conditioned")
+    directions = save(flow.directions(dem), "flow")
     upslope = save(flow.accumulation(directions), "upslope")
     streams = upslope.with_value(~F.isnan("value") & (F.col("value") >= stream_cells), dtype="bool", nodata=False)
     streams_network = network.build(directions, streams, max_length)

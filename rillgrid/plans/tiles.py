@@ -181,13 +181,15 @@ def _solve(forest: DataFrame, ncols: int, how: dict[str, str], size: int, up: bo
         each = whole.groupBy(_tile_of(F.col("at"), ncols, size).alias("tile"))
         inflow = each.agg(F.collect_list(F.struct("at", *(F.struct(F.col(c).alias("v")).alias(c) for c in values))).alias("flow"))
 
+    arrives_any = inflow is not None
+
     def second(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 cells = pa.ipc.open_stream(batch.column("cells")[k].as_py()).read_all()
                 types = {c: cells.schema.field(c).type for c in how}
                 own = _Tile(cells)
-                flow = batch.column("flow")[k].as_py() if inflow is not None else None
+                flow = batch.column("flow")[k].as_py() if arrives_any else None
                 more = {c: _Values.of(pa.chunked_array([pa.array([f[c]["v"] for f in flow], types[c])])) for c in how} if flow else None
                 place = own.find(np.array([f["at"] for f in flow], np.int64)) if flow else None
                 if up:
