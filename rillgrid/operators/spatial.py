@@ -12,7 +12,7 @@ from ..errors import MissingNoDataError, OverlapError
 from ..functions import nodata as N
 from ..raster import Meta, Raster, grid_cells
 
-RESAMPLINGS = ("nearest", "bilinear", "cubic", "average", "mode", "min", "max", "med", "q1", "q3", "sum", "rms")
+RESAMPLINGS = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos", "average", "mode", "min", "max", "med", "q1", "q3", "sum", "rms")
 
 
 def _filled(cells: DataFrame, meta: Meta) -> Raster:
@@ -108,8 +108,8 @@ def _source_places(grid: DataFrame, target: Meta, source: Meta) -> DataFrame:
 def reproject(raster: Raster, template: Raster | Meta | None = None, *, crs=None, transform: P.Transform | None = None, resampling: str = "nearest") -> Raster:
     """Resampled to another grid: a template's, or that of a transform or coordinate system.
 
-    Nearest takes the source pixel that holds a target centre; bilinear and cubic weigh the 4 or 16 around it, leaving
-    out NoData; the others summarise the source pixels whose centres lie in the target pixel.
+    Nearest takes the source pixel that holds a target centre; bilinear, cubic, cubic_spline and lanczos weigh the 4, 16, 16 or 36
+    around it, leaving out NoData; the others summarise the source pixels whose centres lie in the target pixel.
     """
     if resampling not in RESAMPLINGS:
         raise ValueError(f"no resampling {resampling}; there are {', '.join(RESAMPLINGS)}")
@@ -123,7 +123,7 @@ def reproject(raster: Raster, template: Raster | Meta | None = None, *, crs=None
         transform = P.Transform(transform.dx, transform.dy, transform.left, transform.top, P.check(crs))
     target = aligned(source, transform)
     spark = raster.cells.sparkSession
-    if resampling in ("nearest", "bilinear", "cubic"):
+    if resampling in ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos"):
         places = _source_places(grid_cells(spark, *target.shape), target, source)
         kind = dict(raster.cells.dtypes)["value"]
         cells = raster.cells.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
@@ -131,7 +131,7 @@ def reproject(raster: Raster, template: Raster | Meta | None = None, *, crs=None
             placed = places.select("row", "col", F.floor("v").cast("int").alias("sr"), F.floor("u").cast("int").alias("sc"))
             out = placed.join(cells, ["sr", "sc"], "left").select("row", "col", F.coalesce("value", F.lit(source.nodata).cast(kind)).alias("value"))
             return Raster(out, target)
-        reach = 1 if resampling == "bilinear" else 2
+        reach = {"bilinear": 1, "lanczos": 3}.get(resampling, 2)
         steps = F.array(*(F.lit(k) for k in range(1 - reach, reach + 1)))
         near = places.select("row", "col", (F.col("v") - 0.5).alias("v"), (F.col("u") - 0.5).alias("u"))
         near = near.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
@@ -141,6 +141,11 @@ def reproject(raster: Raster, template: Raster | Meta | None = None, *, crs=None
             d = F.abs(d)
             if resampling == "bilinear":
                 return F.greatest(F.lit(0.0), 1 - d)
+            if resampling == "cubic_spline":
+                return F.when(d <= 1, (4 - 6 * d * d + 3 * d * d * d) / 6).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
+            if resampling == "lanczos":
+                wave = math.pi * d
+                return F.when(d < 1e-12, 1.0).when(d < 3, 3 * F.sin(wave) * F.sin(wave / 3) / (wave * wave)).otherwise(0.0)
             return F.when(d <= 1, 1.5 * d * d * d - 2.5 * d * d + 1).when(d < 2, -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2).otherwise(0.0)
 
         w = weight(F.col("v") - F.col("sr")) * weight(F.col("u") - F.col("sc"))

@@ -1,7 +1,8 @@
 """Coordinate systems, transforms and bounding boxes.
 
-Supported systems are WGS 84 (EPSG:4326) and its UTM zones (EPSG:32601-32660, 32701-32760) and the
-NAD 83 zones (EPSG:26901-26923), whose ellipsoid is the same to a tenth of a millimetre.
+Supported systems are WGS 84 (EPSG:4326) and its UTM zones (EPSG:32601-32660, 32701-32760), NAD 83 (EPSG:4269), its zones
+(EPSG:26901-26923) and its equal-area projection of the conterminous states (EPSG:5070), and Web Mercator (EPSG:3857). The
+ellipsoids of NAD 83 and WGS 84 are the same to a tenth of a millimetre, and their coordinates are taken as the same.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ RADIUS = 6_371_000.0
 _A, _F = 6378137.0, 1 / 298.257223563
 _K0, _E2 = 0.9996, _F * (2 - _F)
 _N = _F / (2 - _F)
+_NAMES = {4326: "WGS 84", 4269: "NAD83", 5070: "NAD83 / Conus Albers", 3857: "WGS 84 / Pseudo-Mercator"}
 
 
 def check(crs) -> int | None:
@@ -28,9 +30,14 @@ def check(crs) -> int | None:
         return None
     text = str(crs).strip().upper().removeprefix("EPSG:")
     code = int(text) if text.isdigit() else -1
-    if code == 4326 or zone(code):
+    if code in _NAMES or zone(code):
         return code
-    raise CRSError(f"{crs} is not supported: WGS 84 and its UTM zones are")
+    raise CRSError(f"{crs} is not supported: WGS 84, NAD 83, their UTM zones, EPSG:5070 and EPSG:3857 are")
+
+
+def geographic(crs) -> bool:
+    """Whether coordinates are degrees of longitude and latitude."""
+    return check(crs) in (4326, 4269)
 
 
 def zone(code: int | None) -> tuple[int, bool] | None:
@@ -46,7 +53,7 @@ def name(crs) -> str:
     if code is None:
         return "None"
     found = zone(code)
-    return "WGS 84" if not found else f"{'NAD83' if code < 30000 else 'WGS 84'} / UTM zone {found[0]}{'N' if found[1] else 'S'}"
+    return _NAMES[code] if not found else f"{'NAD83' if code < 30000 else 'WGS 84'} / UTM zone {found[0]}{'N' if found[1] else 'S'}"
 
 
 def compatible(a, b) -> bool:
@@ -57,19 +64,19 @@ def compatible(a, b) -> bool:
 def axis_units(crs) -> tuple[str | None, str | None]:
     """Units of the x and y axes."""
     code = check(crs)
-    return (None, None) if code is None else ("degree", "degree") if code == 4326 else ("metre", "metre")
+    return (None, None) if code is None else ("degree", "degree") if geographic(code) else ("metre", "metre")
 
 
 def y_units_per_m(crs) -> float:
     """Axis units of y in a metre."""
     if check(crs) is None:
         raise MissingCRSError("units need a coordinate reference system")
-    return math.degrees(1 / RADIUS) if crs == 4326 or check(crs) == 4326 else 1.0
+    return math.degrees(1 / RADIUS) if geographic(crs) else 1.0
 
 
 def x_units_per_m(crs, y: float | None = None) -> float:
     """Axis units of x in a metre; for degrees at latitude ``y``."""
-    if check(crs) != 4326:
+    if not geographic(crs):
         return y_units_per_m(crs)
     return y_units_per_m(crs) / math.cos(math.radians(y or 0.0))
 
@@ -85,7 +92,7 @@ def base_to_units(crs, axis: str, distance: float, units: str, y: float | None =
         return distance
     if check(crs) is None:
         raise MissingCRSError("units need a coordinate reference system")
-    if check(crs) != 4326:
+    if not geographic(crs):
         meters = distance
     elif axis == "x":
         h = (math.cos(math.radians(y or 0.0)) * math.sin(math.radians(distance) / 2)) ** 2
@@ -103,7 +110,7 @@ def units_to_base(crs, axis: str, distance: float, units: str, y: float | None =
     if check(crs) is None:
         raise MissingCRSError("units need a coordinate reference system")
     meters = distance * U.factor(units, "meters")
-    if check(crs) != 4326:
+    if not geographic(crs):
         return meters
     if axis == "y":
         return math.degrees(meters / RADIUS)
@@ -177,14 +184,58 @@ def _from_utm(m, x, y, number: int, north: bool):
     return (6 * number - 183) + m.degrees(m.atan2(m.sinh(eta), m.cos(xi))), m.degrees(phi)
 
 
+def _authalic(m, sine):
+    e = math.sqrt(_E2)
+    return (1 - _E2) * (sine / (1 - _E2 * sine * sine) + m.atanh(e * sine) / e)
+
+
+def _albers() -> tuple[float, float, float, float]:
+    """The cone's constant, C, the radius of the origin, and q at the pole, for parallels 29.5 and 45.5 and origin 23 N, 96 W."""
+    sines = [math.sin(math.radians(d)) for d in (29.5, 45.5, 23.0)]
+    m1, m2 = ((1 - s * s) / (1 - _E2 * s * s) for s in sines[:2])  # squares
+    q1, q2, q0 = (_authalic(_Math, s) for s in sines)
+    n = (m1 - m2) / (q2 - q1)
+    c = m1 + n * q1
+    return n, c, _A * math.sqrt(c - n * q0) / n, _authalic(_Math, 1.0)
+
+
+def _to_albers(m, lon, lat):
+    n, c, origin, _ = _albers()
+    radius = _A / n * m.sqrt(c - n * _authalic(m, m.sin(m.radians(lat))))
+    angle = n * m.radians(lon + 96.0)
+    return radius * m.sin(angle), origin - radius * m.cos(angle)
+
+
+def _from_albers(m, x, y):
+    n, c, origin, pole = _albers()
+    up = origin - y
+    q = (c - (x * x + up * up) * (n / _A) ** 2) / n
+    beta = m.asin(q / pole)
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    phi = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * m.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * m.sin(4 * beta) + 761 * e6 / 45360 * m.sin(6 * beta)
+    sine = m.sin(phi)
+    phi = phi + (q - _authalic(m, sine)) * (1 - _E2 * sine * sine) * (1 - _E2 * sine * sine) / (2 * (1 - _E2) * m.cos(phi))
+    return m.degrees(m.atan2(x, up)) / n - 96.0, m.degrees(phi)
+
+
+def _to_mercator(m, lon, lat):
+    return _A * m.radians(lon), _A * m.asinh(m.tan(m.radians(lat)))
+
+
+def _from_mercator(m, x, y):
+    return m.degrees(x / _A), m.degrees(m.atan(m.sinh(y / _A)))
+
+
 def _move(m, x, y, source, target):
     source, target = check(source), check(target)
     if source is None or target is None:
         raise MissingCRSError("reprojection needs both coordinate reference systems")
     if source == target:
         return x, y
-    lon, lat = (x, y) if source == 4326 else _from_utm(m, x, y, *zone(source))
-    return (lon, lat) if target == 4326 else _to_utm(m, lon, lat, *zone(target))
+    found = {5070: _from_albers, 3857: _from_mercator}.get(source)
+    lon, lat = (x, y) if geographic(source) else found(m, x, y) if found else _from_utm(m, x, y, *zone(source))
+    found = {5070: _to_albers, 3857: _to_mercator}.get(target)
+    return (lon, lat) if geographic(target) else found(m, lon, lat) if found else _to_utm(m, lon, lat, *zone(target))
 
 
 def reproject_point(x: float, y: float, source, target) -> tuple[float, float]:

@@ -16,14 +16,15 @@ from .plans import assessment, grids, tables
 from .plans.grids import PIXEL, WIDTH
 from .projection import Bounds
 from .raster import Raster
+from .sources import geotiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 DIGITS = 6
 
 
-def _add(name: str, query: Query, sql: str | None = None) -> None:
+def _add(name: str, query: Query, sql: str | Callable[[], str] | None = None) -> None:
     _QUERIES[name] = query
     if sql:
         _SQL[name] = sql
@@ -135,6 +136,38 @@ _add("resample_nearest", lambda s, d: _coarse(s, d, "nearest"), f"{_G} select ro
 _add("resample_bilinear", lambda s, d: _coarse(s, d, "bilinear"), f"{_G} select row // 4 as row, col // 4 as col, round(avg(z), 6) as value from dem where row % 4 in (1, 2) and col % 4 in (1, 2) group by 1, 2")
 
 
+#: Weights by distance of the kernels, for centres that lie half way between those of four pixels.
+for _how, _w in (("cubic", {0.5: 0.5625, 1.5: -0.0625}), ("cubic_spline", {0.5: 23 / 48, 1.5: 1 / 48})):
+    _span = "case when {0} % 4 in (1, 2) then " + repr(_w[0.5]) + "::double else " + repr(_w[1.5]) + "::double end"
+    _weight = f"({_span.format('row')}) * ({_span.format('col')})"
+    _add(f"resample_{_how}", lambda s, d, how=_how: _coarse(s, d, how), f"{_G} select row // 4 as row, col // 4 as col, round(sum(z * {_weight}) / sum({_weight}), 6) as value from dem group by 1, 2")
+
+
+def _moved(s, d):
+    """Cells of the terrain placed in the equal-area projection and back, by way of the geographic system and Web Mercator."""
+    t = grids.terrain(s, d)
+    x, y = 400_000 + (F.col("col") + 0.5) * PIXEL, 3_800_000 - (F.col("row") + 0.5) * PIXEL
+    table = t.cells.select("row", "col", x.alias("x0"), y.alias("y0"))
+    for k, (a, b) in enumerate(((32611, 5070), (5070, 3857), (3857, 4269), (4269, 26911))):
+        x, y = P.reproject(f"x{k}", f"y{k}", a, b)
+        table = table.withColumn(f"x{k + 1}", x).withColumn(f"y{k + 1}", y)
+    return table.select("row", "col", _r("x4", 2).alias("x"), _r("y4", 2).alias("y"))
+
+
+_add("reproject_systems", _moved, f"{_G} select row, col, round(400000 + (col + 0.5) * {PIXEL}, 2)::double as x, round(3800000 - (row + 0.5) * {PIXEL}, 2)::double as y from dem")
+_add("segment_relief", lambda s, d: _stat(summary.relief(_network(s, d), grids.soil(s, d))), lambda: f"{_NET} select id, value from seg join soil on row = end_row and col = end_col")
+
+
+def _files(s, d):
+    """The burn ratio written as GeoTIFFs and a window of it read again."""
+    path = f"{tables.folder(s)}/burn"
+    geotiff.write(grids.burn(s, d), path, rows_per_file=128)
+    return _out(geotiff.read(s, path, bounds=Bounds(100, -2000, 400, -500, 32611)))
+
+
+_add("geotiff_window", _files, f"{_G} select row - 50 as row, col - 10 as col, value from dnbr where row between 50 and 199 and col between 10 and 39")
+
+
 def _points(s, d):
     p = grids.table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.pmod(F.col("c_custkey") * 37, F.lit(640)) + 0.5).alias("x"), (-F.pmod(F.col("c_custkey") * 53, F.lit(900)) - 0.5).alias("y"), F.col("c_nationkey").alias("v"))
     return _out(features.rasterize_points(p, "v", (90, 64), P.Transform(10, -10, 0, 0, 32611), order="id", dtype="int32"))
@@ -389,4 +422,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}
