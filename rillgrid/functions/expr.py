@@ -47,3 +47,11 @@ def sql_number(x: float) -> str:
     if math.isnan(x) or math.isinf(x):
         return f"CAST('{x}' AS DOUBLE)"
     return f"CAST({x!r} AS DOUBLE)"
+
+
+def checked(value, name: str, low: float = 0.0, high: float = INF) -> Column:
+    """A number that must lie between two bounds; the query fails where one doesn't. NaN and null pass."""
+    x = number(value)
+    wrong = ~F.isnan(x) & ((x < low) | (x > high))
+    text = F.concat(F.lit(f"{name} must lie between {low:g} and {high:g}, and one is "), x.cast("string"))
+    return F.when(wrong, F.raise_error(text).cast("double")).otherwise(x)

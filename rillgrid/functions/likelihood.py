@@ -64,7 +64,9 @@ def _axis(table: DataFrame, values, name: str, runs: DataFrame) -> DataFrame:
 
 
 def likelihoods(variables: DataFrame, r, model: str, durations=DURATIONS, column: str = "likelihood") -> DataFrame:
-    """``variables(.., t, f, s)`` at every accumulation of ``r`` (mm) and duration."""
+    """``variables(.., t, f, s)`` at every accumulation of ``r`` (mm), none of them negative, and duration."""
+    if any(v < 0 for v in ([r] if isinstance(r, (int, float)) else r)):
+        raise ValueError("accumulations aren't negative")
     return _axis(variables, r, "r", parameter_table(variables.sparkSession, (model,), durations)).withColumn(column, likelihood("r", "b", "ct", "t", "cf", "f", "cs", "s"))
 
 

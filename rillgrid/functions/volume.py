@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .expr import ln, number
+from .expr import checked, ln, number
 
 EMERGENCY = {"b": 4.22, "ci": 0.39, "cb": 0.36, "cr": 0.13, "rse": 1.04}
 LONGTERM = {"b": 6.07, "ci": 0.71, "cb": 0.22, "ct": -0.24, "ca": 0.49, "cr": 0.03, "rse": 1.25}
@@ -61,10 +61,10 @@ def _with_bounds(table: DataFrame, log_volume: Column, cis, rse: float) -> DataF
 
 
 def emergency(table: DataFrame, i15, ci=0.95, **c) -> DataFrame:
-    """``table(.., bmh, relief)`` at every storm and confidence: volume, volume_min and volume_max; ``ci=None`` for no bounds."""
-    return _with_bounds(_storms(table, i15, "i15"), emergency_ln("i15", "bmh", "relief", **c), ci, c.get("rse", EMERGENCY["rse"]))
+    """``table(.., bmh, relief)`` at every storm and confidence: volume, volume_min and volume_max; ``ci=None`` for no bounds. Negative variables are an error."""
+    return _with_bounds(_storms(table, i15, "i15"), emergency_ln("i15", *(checked(v, v) for v in ("bmh", "relief")), **c), ci, c.get("rse", EMERGENCY["rse"]))
 
 
 def longterm(table: DataFrame, i60, ci=0.95, **c) -> DataFrame:
-    """``table(.., bt, years, area, relief)`` at every storm and confidence."""
-    return _with_bounds(_storms(table, i60, "i60"), longterm_ln("i60", "bt", "years", "area", "relief", **c), ci, c.get("rse", LONGTERM["rse"]))
+    """``table(.., bt, years, area, relief)`` at every storm and confidence. Negative variables are an error."""
+    return _with_bounds(_storms(table, i60, "i60"), longterm_ln("i60", *(checked(v, v) for v in ("bt", "years", "area", "relief")), **c), ci, c.get("rse", LONGTERM["rse"]))

@@ -68,6 +68,11 @@ def _kept(network: Network, name: str, make) -> DataFrame:
     return _KEPT[key][1]
 
 
+def forget() -> None:
+    """Drops the tables that statistics of networks share."""
+    _KEPT.clear()
+
+
 def labelled(network: Network) -> DataFrame:
     """``cell_segments`` of a network, as a written table."""
     return _kept(network, "labels", lambda: tables.write(cell_segments(network), f"{tables.folder(network.pixels.sparkSession)}/labels"))

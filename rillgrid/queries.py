@@ -193,15 +193,29 @@ _add("window_features", lambda s, d: features.within(grids.table(s, d, "customer
 _KEPT: dict[tuple, object] = {}
 
 
+def _state(s, d) -> tuple:
+    """The files of the tables that rasters are derived from, with their times and sizes."""
+    place = s._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")
+    fs = place.getFileSystem(s._jsc.hadoopConfiguration())
+    files = fs.listStatus(place)
+    return tuple((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)
+
+
 def _kept(s, d, name, make):
-    """Base tables that many queries share (flow, slopes, the network) are written once for a session and folder."""
-    key = (s.sparkContext.applicationId, d, name)
+    """Base tables that many queries share (flow, slopes, the network) are written once for a session and the files they come from."""
+    key = (s.sparkContext.applicationId, d, name, _state(s, d))
     if key not in _KEPT:
         made = make()
         _KEPT[key] = Raster(tables.write(made.cells, f"{tables.folder(s)}/{name}"), made.meta) if isinstance(made, Raster) else made
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops what queries share, so that the next one works anew."""
+    _KEPT.clear()
+    summary.forget()
+
+
 def _flow(s, d):
     return _kept(s, d, "flow", lambda: flow.directions(grids.terrain(s, d)))
 
