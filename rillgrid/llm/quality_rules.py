@@ -31,8 +31,8 @@ RULES: dict[str, str] = {
 _SPARK = {
     "words": "__words",
     "lines": "__lines",
-    "symbols": "regexp_count(t, '[#*&%$]')",
-    "capitals": "regexp_count(t, '[A-Z]')",
+    "symbols": "length(regexp_replace(t, '[^#*&%$]+', ''))",
+    "capitals": "length(regexp_replace(t, '[^A-Z]+', ''))",
     "letters": r"(t rlike '\\p{L}')",
     "distinct_lines": "size(array_distinct(split(t, '\n', -1)))",
     # words followed by themselves
