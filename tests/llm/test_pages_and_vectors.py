@@ -216,6 +216,27 @@ def test_trees_are_added_for_a_hot_cluster(spark):
     assert len(linked) > 200 and sum(got[i] == want[i] for i in linked) >= 0.85 * len(linked)
 
 
+@pytest.mark.parametrize("trees, leaf, spill, cell", [(1, 8, 0.0, 300), (6, 64, 0.05, 200)])
+def test_no_link_is_lost_whatever_the_trees_find(spark, trees, leaf, spill, cell):
+    """Hot cluster, isotropic vectors, chains and tight copies: exactly the groups of all pairs."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    own = unit(rng.normal(size=(700, 64)))
+    near = unit(0.8 * own[:200] + 0.6 * unit(rng.normal(size=(200, 64))))
+    hot = np.sqrt(0.85) * unit(rng.normal(size=64)) + np.sqrt(0.15) * np.concatenate((own, near))
+    turn = np.arange(60)[:, None] * 0.3
+    chain = np.concatenate((np.cos(turn), np.sin(turn), np.zeros((60, 62))), axis=1)[::7]  # far apart, closed by what follows
+    steps = np.concatenate((np.cos(turn), np.sin(turn), np.zeros((60, 62))), axis=1)
+    copies = unit(np.repeat(unit(rng.normal(size=(20, 64))), 15, axis=0) + 0.02 * rng.normal(size=(300, 64)))
+    x = np.concatenate((hot, chain, vectors(width=64), copies, steps))
+    order = rng.permutation(len(x))
+    table = spark.createDataFrame([(i, x[k].tolist()) for i, k in enumerate(order)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.group_id for r in embed_dedup.near_duplicates(table, trees=trees, leaf=leaf, spill=spill, cell=cell).collect()}
+    want = brute_groups(x[order], embed_dedup.THRESHOLD)
+    assert len({r for i, r in enumerate(want) if r != i}) > 100
+    assert [got[i] for i in range(len(x))] == want
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [("1", [1.0, 0.0]), ("2", [2.0, 0.0]), ("3", None), ("4", [0.0, 0.0]), ("5", [1.0]), ("6", [nan, 1.0]), ("7", [None, 1.0]), ("8", []), (None, [1.0, 0.0]), ("9", [0.0, 1.0]), ("1", [1.0, 0.0]), ("10", [0.0, 5.0]), ("11", [-1.0, 0.0]), ("12", [7.0]), ("13", [-0.0, 3.0]), ("14", [1e30, 1e20]), ("one", [0.0, 1.0]), ("15", [3.0, 4.0]), ("2", [4.0, 3.0])]
